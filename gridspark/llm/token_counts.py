@@ -4,7 +4,7 @@ The key of a text is the SHA-256 of its normalised form; the cache is a Parquet
 kept between runs. Texts whose key is in the cache are not encoded again; of the others, each distinct one is encoded once and
 its count appended to the cache; then all rows are joined to their counts.
 
-Normalising only undoes differences that the tokenizer itself ignores (ASCII letter case, and runs of ASCII white space), so equal
+Normalising only undoes differences that the tokenizer itself ignores (ASCII letter case, and how much ASCII white space there is), so equal
 keys have equal counts. It is left out for texts with a special string, which the library matches before it normalises.
 
 Hot texts: copies are dropped in each map task before the shuffle, so a text that is a third of all rows crosses it once per
@@ -23,10 +23,11 @@ import os
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, arrow_map, table
 
 CACHE = "content binary, tokenizer string, n_tokens bigint"
 
@@ -64,21 +65,18 @@ def count_model(data: bytes, texts: list[str]) -> list[int]:
     return [len(x) for x in _pieces(data).encode(texts, num_threads=1)]
 
 
-def content_key(text: Column, data: bytes, kind: str) -> Column:
-    """SHA-256 of the normalised text. Normalising is used only for tokenizers whose file says that they ignore what it changes."""
-    raw = F.coalesce(text, F.lit(""))
-    if kind != "json":
-        return F.unhex(F.sha2(raw, 256))
-    about = json.loads(data)
+def normaliser(data: bytes, kind: str):
+    """A function from a text to the bytes that its key digests. It normalises only for tokenizers whose file says that they ignore it."""
+    about = json.loads(data) if kind == "json" else {}
     steps = (about.get("normalizer") or {}).get("normalizers", [about.get("normalizer") or {}])
     folds_case = any(s.get("type") == "Lowercase" for s in steps)
-    folds_space = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} and s.get("content") == " " for s in steps)
-    if not (folds_case and folds_space):
-        return F.unhex(F.sha2(raw, 256))
-    plain = F.translate(F.regexp_replace(raw, "[ \\t\\n\\r]+", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    special = functools.reduce(lambda a, b: a | b, [F.contains(raw, F.lit(s["content"])) for s in about.get("added_tokens", [])], F.lit(False))
-    # A leading byte keeps the two kinds of keys apart.
-    return F.unhex(F.sha2(F.when(special, F.concat(F.lit("="), raw)).otherwise(F.concat(F.lit("~"), plain)), 256))
+    first = ((about.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    drops_space = first.get("behavior") == "Removed" and first.get("invert") and "\\s" in str(first.get("pattern"))
+    special = [s["content"].encode() for s in about.get("added_tokens", [])]
+    if not (folds_case and drops_space):
+        return lambda raw: raw
+    # A leading byte keeps the two kinds of keys apart. Lower case and white space of bytes are ASCII's.
+    return lambda raw: b"=" + raw if any(x in raw for x in special) else b"~" + b" ".join(raw.lower().split())
 
 
 def _distinct(batches):
@@ -102,10 +100,20 @@ def count_tokens(spark: SparkSession, docs: DataFrame, cache: str, tokenizer: st
         data = f.read()
     name, packed, count = tokenizer_digest(data), spark.sparkContext.broadcast(data), {"json": count_json, "model": count_model}[kind]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {"n_bytes", "n_tokens", "over_limit", "_key"}]
-    rows = docs.withColumn("_text", F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("_key", content_key(F.col("_text"), data, kind))
+    normal = normaliser(data, kind)
+
+    def keys(column: pa.Array) -> list[pa.Array]:
+        raw = column.fill_null("").cast(pa.binary()).to_pylist()
+        return [pa.array([hashlib.sha256(normal(x)).digest() for x in raw], pa.binary()), pa.array(list(map(len, raw)), pa.int64())]
+
+    def keyed(columns: list[str]) -> DataFrame:
+        """Cheap enough to be run for the texts and for the rows: nothing has to be kept between."""
+        used = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*columns, text])))
+        return arrow_map(used, text, keys, [T.StructField("_key", T.BinaryType()), T.StructField("n_bytes", T.LongType())], columns)
+
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)  # a new cache is an empty table
     stored = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == name)
-    misses = rows.select("_key", "_text")
+    misses = keyed([text]).select("_key", F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     if not stored.isEmpty():
         misses = misses.join(stored.select(F.col("content").alias("_key")), "_key", "left_anti")
 
@@ -122,7 +130,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, cache: str, tokenizer: st
     first.repartition("_key").mapInArrow(encode, CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
     # Two runs at once may both have stored a key: their counts are equal.
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == name).groupBy(F.col("content").alias("_key")).agg(F.max("n_tokens").alias("n_tokens"))
-    out = rows.select(*(F.col(f"`{c}`") for c in keep), F.octet_length("_text").cast("long").alias("n_bytes"), "_key").join(counts, "_key")
+    out = keyed(keep).join(counts, "_key")
     return out.select(*(F.col(f"`{c}`") for c in keep), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
