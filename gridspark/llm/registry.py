@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import secret_scan
 from .byte_bpe import op8_byte_bpe
 from .quality_rules import op2_quality_rules
+from .secret_scan import op1_secret_scan
 from .token_counts import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op8_byte_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op8_byte_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scan": secret_scan.oracle()}
