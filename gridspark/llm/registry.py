@@ -11,10 +11,11 @@ from .byte_bpe import op8_byte_bpe
 from .quality_rules import op2_quality_rules
 from .secret_scan import op1_secret_scan
 from .token_counts import op10_token_counts
+from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op8_byte_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op5_warc, op8_byte_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
