@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 
 from .common import Scratch, arrow_map, table
 
+#: So many texts are held as Python objects at once.
+ROWS = 256
 CACHE = "content binary, tokenizer string, n_tokens bigint"
 
 
@@ -80,16 +82,17 @@ def normaliser(data: bytes, kind: str):
 
 
 def _distinct(batches):
-    """Of the rows (key, text) of a task, the first of each key. Remembers keys only."""
+    """Of the rows (key, text) of a task, the first of each key, some rows at a time. Remembers keys only."""
     seen: set[bytes] = set()
     for b in batches:
-        fresh = []
-        for i, k in enumerate(b.column(0).to_pylist()):
-            if k not in seen:
-                seen.add(k)
-                fresh.append(i)
-        if fresh:
-            yield b.take(pa.array(fresh))
+        for at in range(0, b.num_rows, ROWS):
+            part, fresh = b.slice(at, ROWS), []
+            for i, k in enumerate(part.column(0).to_pylist()):
+                if k not in seen:
+                    seen.add(k)
+                    fresh.append(i)
+            if fresh:
+                yield part.take(pa.array(fresh))
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, cache: str, tokenizer: str | None = None, text: str = "text", keep: list[str] | None = None, limit: int = 2048) -> DataFrame:
@@ -102,35 +105,37 @@ def count_tokens(spark: SparkSession, docs: DataFrame, cache: str, tokenizer: st
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {"n_bytes", "n_tokens", "over_limit", "_key"}]
     normal = normaliser(data, kind)
 
-    def keys(column: pa.Array) -> list[pa.Array]:
-        raw = column.fill_null("").cast(pa.binary()).to_pylist()
-        return [pa.array([hashlib.sha256(normal(x)).digest() for x in raw], pa.binary()), pa.array(list(map(len, raw)), pa.int64())]
-
-    def keyed(columns: list[str]) -> DataFrame:
-        """Cheap enough to be run for the texts and for the rows: nothing has to be kept between."""
-        used = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*columns, text])))
-        return arrow_map(used, text, keys, [T.StructField("_key", T.BinaryType()), T.StructField("n_bytes", T.LongType())], columns)
+    def keys(texts: pa.Array) -> list[pa.Array]:
+        """Each text's key and bytes; some texts at a time, so that memory stays bounded."""
+        digests, sizes = [], []
+        for at in range(0, len(texts), ROWS):
+            for x in texts.slice(at, ROWS).fill_null("").cast(pa.binary()).to_pylist():
+                digests.append(hashlib.sha256(normal(x)).digest())
+                sizes.append(len(x))
+        return [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())]
+
+    def keyed_texts(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                texts = b.column(0).slice(at, ROWS).fill_null("")
+                yield pa.RecordBatch.from_arrays([keys(texts)[0], texts], names=["_key", "_text"])
 
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)  # a new cache is an empty table
     stored = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == name)
-    misses = keyed([text]).select("_key", F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    misses = docs.select(F.col(f"`{text}`")).mapInArrow(lambda batches: _distinct(keyed_texts(batches)), "_key binary, _text string")
     if not stored.isEmpty():
         misses = misses.join(stored.select(F.col("content").alias("_key")), "_key", "left_anti")
 
     def encode(batches):
         for b in _distinct(batches):
-            at = 0
-            while at < b.num_rows:  # some texts at a time, so that memory stays bounded
-                part = b.slice(at, 256)
-                n = count(packed.value, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name] * part.num_rows, pa.string()), pa.array(n, pa.int64())], names=["content", "tokenizer", "n_tokens"])
-                at += part.num_rows
-
-    first = misses.mapInArrow(_distinct, "_key binary, _text string")
-    first.repartition("_key").mapInArrow(encode, CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
+            n = count(packed.value, b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * b.num_rows, pa.string()), pa.array(n, pa.int64())], names=["content", "tokenizer", "n_tokens"])
+
+    misses.repartition("_key").mapInArrow(encode, CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
     # Two runs at once may both have stored a key: their counts are equal.
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == name).groupBy(F.col("content").alias("_key")).agg(F.max("n_tokens").alias("n_tokens"))
-    out = keyed(keep).join(counts, "_key")
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])))
+    out = arrow_map(rows, text, keys, [T.StructField("_key", T.BinaryType()), T.StructField("n_bytes", T.LongType())], keep).join(counts, "_key")
     return out.select(*(F.col(f"`{c}`") for c in keep), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
