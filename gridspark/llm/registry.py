@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import secret_scan
 from .byte_bpe import op8_byte_bpe
+from .embedding_join import op3_embedding_join
 from .minhash_join import op7_minhash_join
 from .quality_rules import op2_quality_rules
 from .secret_scan import op1_secret_scan
@@ -17,7 +18,7 @@ from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op5_warc, op6_toxicity, op7_minhash_join, op8_byte_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_embedding_join, op5_warc, op6_toxicity, op7_minhash_join, op8_byte_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
