@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import secret_scan
 from .byte_bpe import op8_byte_bpe
+from .domain_mixing import op9_domain_mixing
 from .embedding_join import op3_embedding_join
 from .html_text import op4_html_text
 from .minhash_join import op7_minhash_join
@@ -19,7 +20,7 @@ from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_embedding_join, op4_html_text, op5_warc, op6_toxicity, op7_minhash_join, op8_byte_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_embedding_join, op4_html_text, op5_warc, op6_toxicity, op7_minhash_join, op8_byte_bpe, op9_domain_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
