@@ -62,9 +62,15 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+    def write(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """``batch``: rows per Arrow batch in this write, where rows are long."""
+        path, key = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        try:
+            self.spark.conf.set(key, str(batch or before))
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -19,8 +19,6 @@ from __future__ import annotations
 import base64
 import hashlib
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +31,8 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: A file has at most so many records.
 RECORDS_PER_FILE = 200_000
+#: A Python worker gets so many lines of an archive at once.
+LINES_PER_BATCH = 500
 _LINE = "file string, block long, seq long, rel long, bytes long, size long, page_id long, kind string, refers_to long, said string, payload long, digest string"
 
 
@@ -145,27 +145,28 @@ _NAMES = [c.split()[0] for c in _LINE.split(", ")]
 _TYPES = [pa.string() if c.endswith("string") else pa.int64() for c in _LINE.split(", ")]
 
 
-def _exits(rows: pd.DataFrame) -> pd.DataFrame:
+def _exits(rows: pa.Table) -> pa.Table:
     """Each candidate of a block with the offset at which its chain leaves the block; broken chains are dropped."""
-    at = dict(zip(rows["off"], rows["next"], strict=True))
+    at = dict(zip(rows["off"].to_pylist(), rows["next"].to_pylist(), strict=True))
     last = max(at)
     leads: dict[int, int | None] = {}
     for off in sorted(at, reverse=True):  # successors come later in the file, so they are known already
         to = at[off]
         leads[off] = to if to > last else leads.get(to)
     found = [(k, v) for k, v in leads.items() if v is not None]
-    return pd.DataFrame({"file": rows["file"].iloc[0], "off": np.array([k for k, _ in found], np.int64), "exit": np.array([v for _, v in found], np.int64)})
+    return pa.table([pa.array([rows["file"][0].as_py()] * len(found), pa.string()), pa.array([k for k, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["file", "off", "exit"])
 
 
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+def _walk(rows: pa.Table) -> pa.Table:
     """A block's candidates that lie on a chain from its entry."""
-    at = dict(zip(rows["off"], rows["next"], strict=True))
-    off = rows.loc[rows["entry"], "off"].min()
+    offs = rows["off"].to_pylist()
+    at = dict(zip(offs, rows["next"].to_pylist(), strict=True))
+    off = min((o for o, e in zip(offs, rows["entry"].to_pylist(), strict=True) if e), default=None)
     on = set()
     while off in at:
         on.add(off)
         off = at[off]
-    return rows[rows["off"].isin(on)].drop(columns=["next", "entry"])
+    return rows.filter(pa.array([o in on for o in offs], pa.bool_())).drop_columns(["next", "entry"])
 
 
 def entries(candidates: DataFrame, blocks: int, scratch: Scratch) -> DataFrame:
@@ -173,7 +174,7 @@ def entries(candidates: DataFrame, blocks: int, scratch: Scratch) -> DataFrame:
     reached = candidates.where("off = 0").select("file", "off").distinct()
     if blocks <= 1:
         return reached
-    jumps = candidates.groupBy("file", "block").applyInPandas(_exits, "file string, off long, exit long")
+    jumps = candidates.groupBy("file", "block").applyInArrow(_exits, "file string, off long, exit long")
     jumps = scratch.write(jumps, "jumps")
     ends = jumps.select("file", F.col("exit").alias("off")).distinct().union(reached).distinct()
     jumps = scratch.write(jumps.join(ends, ["file", "off"], "left_semi"), "jumps")
@@ -189,7 +190,7 @@ def entries(candidates: DataFrame, blocks: int, scratch: Scratch) -> DataFrame:
 
 def read_archive(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     """``(page_id, kind, refers_to, said, payload, digest)`` of every record on the chains; said is the digest in its header."""
-    lines = scratch.write(_lines(spark, path).mapInArrow(_candidates, _LINE), "lines")
+    lines = scratch.write(_lines(spark, path).mapInArrow(_candidates, _LINE), "lines", batch=LINES_PER_BATCH)
     total = lines.groupBy("file", "block").agg(F.sum(F.col("bytes") + len(MAGIC)).alias("total"))
     bases = scratch.write(total.selectExpr("file", "block", "coalesce(sum(total) over (partition by file order by block rows between unbounded preceding and 1 preceding), 0) as base", "count(*) over (partition by file) as blocks"), "bases")
     blocks, n = bases.agg(F.max("blocks"), F.count("*")).first()
@@ -198,7 +199,7 @@ def read_archive(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     true = entries(candidates.select("file", "block", "off", "next"), blocks or 0, scratch).withColumn("entry", F.lit(True))
     candidates = candidates.join(true, ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     fields = "file string, off long, block long, seq long, bytes long, size long, page_id long, kind string, refers_to long, said string, payload long, digest string"
-    records = scratch.write(candidates.select(*(c.split()[0] for c in fields.split(", ")), "next", "entry").groupBy("file", "block").applyInPandas(_walk, fields), "records")
+    records = scratch.write(candidates.select(*(c.split()[0] for c in fields.split(", ")), "next", "entry").groupBy("file", "block").applyInArrow(_walk, fields), "records")
     columns = ["page_id", "kind", "refers_to", "said", "payload", "digest"]
     whole = records.where("digest is not null").select(*columns)
     cut = records.where("digest is null")
