@@ -4,8 +4,8 @@ A classifier learned from the labelled rows gives every document a posterior ove
 many copies of each document the mixture takes on average, start at 1; projected gradients of a least-squares problem then change
 them, never below 0, until the expected token total of each domain, the sum of tokens x posterior x rate over documents, meets its target.
 
-With shares of all tokens as the weights of documents, and the inverse of the domains' overlap as the weights of residuals, the
-problem's largest curvature is 1, so steps of length 1 never raise the error. A document's rate depends only on its posterior and on
+With shares of all tokens as the weights of documents, and the inverse of the domains' overlap (without directions that the
+posteriors hardly tell apart) as the weights of residuals, the problem's largest curvature is 1, so steps of length 1 never raise the error. A document's rate depends only on its posterior and on
 the steps so far, a few numbers each; an iteration is one pass that sums them, and only sums by domain reach the driver.
 
 Defined results: a null or empty text has 0 tokens and no influence on the totals, but has a posterior and a rate. Labels without
@@ -61,6 +61,7 @@ class Classifier:
     def __init__(self, words: np.ndarray, weights: np.ndarray | None = None):
         self.words = np.sort(words.astype(np.int64))
         self.weights = weights
+        self.absent = np.zeros(len(DOMAINS))  # a cost that rules out domains without labelled rows
 
     def features(self, c: Chunk) -> np.ndarray:
         x = np.zeros((len(c.n_words), len(self.words) + SHAPES))
@@ -75,11 +76,12 @@ class Classifier:
     def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 200) -> Classifier:
         """Gradient descent with momentum on the ridged likelihood."""
         one = np.eye(len(DOMAINS))[y]
+        self.absent = np.where(one.sum(0) > 0, 0.0, -1e9)
         w = np.zeros((x.shape[1], len(DOMAINS)))
         step, speed = 4 * len(x) / (np.linalg.norm(x, 2) ** 2 + ridge), np.zeros_like(w)
         for k in range(rounds):
             ahead = w + k / (k + 3) * speed
-            p = _softmax(x @ ahead)
+            p = _softmax(x @ ahead + self.absent)
             new = ahead - step * (x.T @ (p - one) + ridge * ahead) / len(x)
             speed, w = new - w, new
         self.weights = np.round(w, 9)
@@ -88,7 +90,7 @@ class Classifier:
     def posterior(self, c: Chunk) -> np.ndarray:
         if self.weights is None:
             return np.full((len(c.n_words), len(DOMAINS)), 1 / len(DOMAINS))
-        return _softmax(self.features(c) @ self.weights)
+        return _softmax(self.features(c) @ self.weights + self.absent)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -175,7 +177,9 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, factors:
         return [], np.zeros(k), np.zeros(k)
     now, overlap = np.array(first[1 : 1 + k], float) / total, np.array(first[1 + k :], float).reshape(k, k) / total
     want = np.array([targets[d] for d in DOMAINS]) if targets is not None else now * np.array([factors[d] for d in DOMAINS])
-    inverse = np.linalg.pinv(overlap, rcond=1e-9, hermitian=True)
+    # Relative to the domains' shares; directions in which the posteriors hardly tell domains apart are not moved along.
+    scale = np.where(now > 0, 1 / np.sqrt(np.maximum(now, 1e-300)), 0.0)
+    inverse = scale[:, None] * np.linalg.pinv(scale[:, None] * overlap * scale, rcond=0.02, hermitian=True) * scale
     steps: list[np.ndarray] = []
     for _ in range(rounds):
         if np.abs(want - now).sum() <= tolerance:
