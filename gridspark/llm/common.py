@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of whole texts that a Python worker gets at once in writes to scratch tables.
+TEXT_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; read by Spark only, so any path that Spark resolves will do."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,15 +67,21 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def write(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
-        """``batch``: rows per Arrow batch in this write, where rows are long."""
-        path, key = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    @contextlib.contextmanager
+    def _batches(self, rows: int | None):
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(key)
         try:
-            self.spark.conf.set(key, str(batch or before))
-            df.write.option("compression", "zstd").parquet(path)
+            self.spark.conf.set(key, str(rows or before))
+            yield
         finally:
             self.spark.conf.set(key, before)
+
+    def write(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """``batch``: rows per Arrow batch in this write, where rows are long."""
+        path = self.path(name)
+        with self._batches(batch):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -78,7 +89,8 @@ class Scratch:
     def write_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         """As ``write``, in buckets of ``key``: what groups or joins by the key afterwards need not shuffle this side."""
         called = f"gridspark_{name}_{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").option("path", self.path(name)).bucketBy(buckets, key).saveAsTable(called)
+        with self._batches(TEXT_ROWS):
+            df.write.option("compression", "zstd").option("path", self.path(name)).bucketBy(buckets, key).saveAsTable(called)
         self._named.append(called)
         return self.spark.table(called)
 
@@ -200,7 +212,7 @@ class Chunk:
         return np.repeat(np.arange(len(self.n_words)), self.n_words)
 
 
-def chunks(column: pa.Array, limit: int = 4 << 20, lower: bool = False) -> Iterator[tuple[int, int, Chunk]]:
+def chunks(column: pa.Array, limit: int = 1 << 20, lower: bool = False) -> Iterator[tuple[int, int, Chunk]]:
     """Row ranges of a string column with at most ``limit`` bytes each (one row at least), nulls as empty."""
     column = column.fill_null("") if column.null_count else column
     if isinstance(column, pa.ChunkedArray):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Chunk, Scratch, arrow_map, chunks, mix, table
+from .common import TEXT_ROWS, Chunk, Scratch, arrow_map, chunks, mix, table
 
 DOMAINS = ("clean", "toxic", "low")
 #: The classifier is fitted on so many labelled rows at most, the first in the order of a hash of their ids, and has so many words.
@@ -194,7 +194,7 @@ def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "
     """``keep`` columns with n_tokens, posteriors, rate and copies: the rate rounded to a whole number by a hash of the id, so that its mean is the rate."""
     names = {"n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS)}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
-    rows = Scratch(spark, "mixing").write(predicted(spark, docs, learn(spark, docs, labels, text, id), text, keep), "posteriors")
+    rows = Scratch(spark, "mixing").write(predicted(spark, docs, learn(spark, docs, labels, text, id), text, keep), "posteriors", TEXT_ROWS)
     targets = None if factors else {d: budget * w for d, w in (weights or WEIGHTS).items()}
     steps, _, _ = fit_rates(rows, targets, factors)
     even = F.pmod(F.xxhash64(F.col(f"`{id}`").cast("string"), F.lit("mixing")), F.lit(1 << 32)) / float(1 << 32)

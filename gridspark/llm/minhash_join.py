@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Chunk, Scratch, arrow_map, chunks, components, mix, small, table
+from .common import TEXT_ROWS, Chunk, Scratch, arrow_map, chunks, components, mix, small, table
 
 WORDS = 5
 COORDINATES = 32
@@ -115,7 +115,7 @@ class Join:
         self.spark, self.scratch, self.text = spark, Scratch(spark, "minhash"), text
         t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
         self.docs = docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"))
-        self.signed = self.scratch.write(arrow_map(self.docs, "_text", sign, SIGNED, ["_id", "_k1", "_k2"]), "signed")
+        self.signed = self.scratch.write(arrow_map(self.docs, "_text", sign, SIGNED, ["_id", "_k1", "_k2"]), "signed", TEXT_ROWS)
         one = self.signed.where("n_shingles > 0").groupBy("_s1", "_s2").agg(F.min("_id").alias("id"), F.first("_sig").alias("sig"), F.first("n_shingles").alias("n"), F.first(F.struct("_id", "_k1", "_k2")).alias("row"))
         self.classes = self.scratch.write(one.withColumn("node", F.monotonically_increasing_id()), "classes")
 
@@ -133,7 +133,7 @@ class Join:
         n = wanted.count()
         got = self.docs.join(small(wanted, n, 32), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
         got = arrow_map(got.select("node", "_text"), "_text", shingle_sets, [T.StructField("set", T.BinaryType())], ["node"])
-        return self.scratch.write(got.dropDuplicates(["node"]), "sets")
+        return self.scratch.write(got.dropDuplicates(["node"]), "sets", TEXT_ROWS)
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of ``pairs(a, b)``, those with enough equal coordinates and a similarity of SIMILAR or more on the full sets."""
@@ -153,7 +153,7 @@ class Join:
                     fits.append(100 * common >= SIMILAR * (len(p) + len(q) - common))
                 yield r.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-        return self.scratch.write(both.select("a", "b", "x", "y").mapInArrow(keep, "a long, b long"), "links")
+        return self.scratch.write(both.select("a", "b", "x", "y").mapInArrow(keep, "a long, b long"), "links", TEXT_ROWS)
 
     def linked(self) -> DataFrame:
         """``(node, comp)`` of the classes with links."""
@@ -188,7 +188,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r.column(c).to_numpy()[k : k + 256], m)) for c in (0, 1)] + [pa.array(np.repeat(m, m)), pa.array(np.concatenate(each[k : k + 256]))], names=["node", "comp", "n", "shingle"])
 
         posted = nodes.join(sets, "node").select("node", "comp", "set").mapInArrow(rows, "node long, comp long, n long, shingle long")
-        posted = self.scratch.write(posted, "shingles")
+        posted = self.scratch.write(posted, "shingles", TEXT_ROWS)
         common = posted.groupBy("shingle").agg(F.count("*").alias("posts")).where("posts > 1")
         ranked = posted.join(common, "shingle").selectExpr("node", "comp", "n", "shingle", "n - count(*) over (partition by node) + row_number() over (partition by node order by posts, shingle) as rank")
         prefix = self.scratch.write(ranked.where(f"rank <= n - (n * {SIMILAR} + 99) div 100 + 1").select("shingle", "node", "comp", "n", "rank"), "prefix")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_map, chunks, mix, table
+from .common import TEXT_ROWS, Scratch, arrow_map, chunks, mix, table
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bangs"]
 SYMBOLS = b"#*$%&|<>"
@@ -152,7 +152,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, text: str = "text", keep
     pattern = F.lit(0)
     for v in rules.values():
         pattern = pattern * 3 + v + 1
-    counted = scratch.write(arrow_map(docs, text, count, fields, kept).withColumn("_pattern", pattern.cast("int")), "counts")
+    counted = scratch.write(arrow_map(docs, text, count, fields, kept).withColumn("_pattern", pattern.cast("int")), "counts", TEXT_ROWS)
     seen = counted.groupBy("_pattern").count().collect()  # at most 3 ** rules rows
     codes = np.array([r["_pattern"] for r in seen], np.int64)
     patterns = codes[:, None] // 3 ** np.arange(len(rules) - 1, -1, -1) % 3 - 1
