@@ -33,16 +33,18 @@ KEEPS_P = frozenset("body html head td th caption button object".split())
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|([^<]++|<)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
-TAGS = frozenset("a article aside blockquote body button dd dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header label li main nav noscript ol option p pre section select table td textarea th title ul".split())
+TAGS = frozenset("a article aside blockquote body button dd dialog dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header label li main nav noscript ol option p pre section select table td textarea th title ul".split())
+#: Elements that say what part of a page they are; with elements whose names say so, the innermost one is a feature of its own.
+PARTS = frozenset("article aside button dialog fieldset footer form header label main menu nav noscript select textarea title".split())
 #: What names in class, id and role attributes are about; a name is cut at anything but letters and at inner capitals.
 NAMED = {
     "ad": "ad ads adv advert adverts advertisement advertising adbox adslot banner promo promoted promotion sponsor sponsored dfp adsense",
-    "menu": "menu nav navbar navigation breadcrumb breadcrumbs pagination pager topnav subnav tabs toc",
-    "comment": "comment comments reply replies respond discussion disqus thread reader readers feedback",
-    "side": "sidebar side aside widget widgets related recommend recommended recommendations more trending popular rail complementary also teaser",
+    "menu": "menu menus nav navs navbar navigation breadcrumb breadcrumbs pagination pager topnav subnav tabs toc",
+    "comment": "comment comments commenter reply replies respond discussion disqus thread reader readers feedback",
+    "side": "sidebar sidebars side aside complementary widget widgets related recommend recommended recommendations more trending popular rail also teaser",
     "foot": "footer foot copyright legal colophon bottom contentinfo credits imprint",
     "head": "header head masthead logo brand branding top site topbar tagline",
-    "notice": "cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription signup alert paywall dialog privacy message toast",
+    "notice": "cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup alert paywall dialog privacy message toast",
     "social": "share sharing social follow tweet facebook buttons tools toolbar",
     "form": "form search login input field contact poll survey",
     "content": "content article post entry story main body text prose page hentry copy detail",
@@ -89,7 +91,8 @@ def blocks(page: str) -> list[Block]:
                 for _, m in stack:
                     marks |= m
                 inner = next((t for t, _ in reversed(stack) if t in BLOCKS), "none")
-                out.append(Block(text, [*marks, f"i:{inner}", *_shape(text, linked / max(size, 1))]))
+                closest = next((m for t, m in reversed(stack) if t in PARTS or any(x[0] == "n" for x in m)), frozenset(["none"]))
+                out.append(Block(text, [*marks, *(f"c:{x}" for x in closest), f"i:{inner}", *_shape(text, linked / max(size, 1))]))
         texts, linked, size = [], 0, 0
 
     def close(k: int) -> None:
@@ -180,12 +183,14 @@ class Field:
             for j, b in enumerate(bs):
                 x[i, j, [self.index[f] for f in b.features if f in self.index]] = 1
             y[i, : len(ls)], on[i, : len(ls)] = ls, 1
-        flat, w = x.reshape(-1, d), np.concatenate((self.weights.ravel(), self.steps.ravel()))
+        real = on.astype(bool)
+        flat, w = x[real], np.concatenate((self.weights.ravel(), self.steps.ravel()))
         one = np.eye(2)[y] * on[..., None]
-        seen = np.concatenate(((flat.T @ one.reshape(-1, 2)).ravel(), np.einsum("nta,ntb->ab", one[:, :-1], one[:, 1:]).ravel()))
+        seen = np.concatenate(((flat.T @ one[real]).ravel(), np.einsum("nta,ntb->ab", one[:, :-1], one[:, 1:]).ravel()))
         m, v = np.zeros_like(w), np.zeros_like(w)
         for k in range(1, rounds + 1):
-            e, t = (flat @ w[: 2 * d].reshape(d, 2)).reshape(n, longest, 2), w[2 * d :].reshape(2, 2)
+            e, t = np.zeros((n, longest, 2)), w[2 * d :].reshape(2, 2)
+            e[real] = flat @ w[: 2 * d].reshape(d, 2)
             a, b = e.copy(), np.zeros_like(e)
             for j in range(1, longest):
                 a[:, j] = np.logaddexp.reduce(a[:, j - 1, :, None] + t, axis=1) + e[:, j]
@@ -195,7 +200,7 @@ class Field:
             z = np.logaddexp.reduce(a[np.arange(n), last], axis=1)[:, None]
             p = np.exp(a + b - z[..., None]) * on[..., None]
             both = np.exp(a[:, :-1, :, None] + t + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, :, None, None]) * on[:, 1:, None, None]
-            g = (seen - np.concatenate(((flat.T @ p.reshape(-1, 2)).ravel(), both.sum((0, 1)).ravel()))) / n - ridge * w / n
+            g = (seen - np.concatenate(((flat.T @ p[real]).ravel(), both.sum((0, 1)).ravel()))) / n - ridge * w / n
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w += rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         self.weights, self.steps = w[: 2 * d].reshape(d, 2), w[2 * d :].reshape(2, 2)
@@ -301,6 +306,20 @@ def labelled_pages(count: int = 500, seed: int = 7) -> list[tuple[str, list[int]
         def side() -> None:
             box(r.choice(["aside", "aside", "div", "section"]), "sidebar", "related", "widget", "recommended", "more-stories", "trending", bare=0.3, most=4)
 
+        def simple() -> None:
+            """One block whose element alone says what it is."""
+            k = r.random()
+            if k < 0.4:
+                names = [w for part in ("ad", "menu", "comment", "side", "foot", "notice", "social", "form") for w in r.sample(NAMED[part].split(), 2)]
+                put(r.choice(["div", "div", "p", "section", "ul"]), sentence(), 0, r.choice([' class="{}"', ' class="box {}"', ' id="{}"', ' class="site-{}"']).format(r.choice(names)))
+            elif k < 0.6:
+                put(r.choice(["div", "section"]), f"<p>{sentence()}</p>", 0, f' role="{r.choice(["navigation", "complementary", "contentinfo", "search", "banner", "alert", "dialog"])}"')
+            elif k < 0.9:
+                tag = r.choice(["aside", "aside", "nav", "form", "noscript", "dialog", "footer"])
+                put(tag, r.choice(["{}", "<p>{}</p>", "<div>{}</div>"]).format(sentence()), 0, r.choice(["", "", ' class="x"']))
+            else:
+                put("div", f"<p>{sentence()}</p>", 0, r.choice([" hidden", ' style="display:none"', ' aria-hidden="true"']))
+
         def comments() -> None:
             tag = r.choice(["div", "section", "ol", "aside"])
             out.append(named(tag, "comments", "comment-list", "reader-comments", "discussion", "replies", "disqus_thread"))
@@ -326,24 +345,36 @@ def labelled_pages(count: int = 500, seed: int = 7) -> list[tuple[str, list[int]
             out.append("</form>")
 
         def article(wrapped: bool) -> None:
-            if r.random() < 0.85:
+            k = r.random()
+            if k < 0.7:
+                put("h1", words(2, 12, False), 1)
+            elif k < 0.85 and wrapped:
+                out.append(r.choice(["<header>", '<header class="entry-header">', '<div class="headline">']))
                 put("h1", words(2, 12, False), 1)
+                if r.random() < 0.4:
+                    put("p", words(2, 30), 1)
+                out.append("</header>" if "header" in out[-2] or "header" in out[-3] else "</div>")
             for _ in range(r.choice([1, 1, 2, 4, 6, 9, 14])):
                 k = r.random()
-                if k < 0.7:
+                if k < 0.62:
                     put("p", r.choice(["", "", "", "<b>", "<em>"]) + sentence() + r.choice(["", "", f" <a href=q>{words(1, 3)}</a> {words(1, 9)}", "<br>" + words(2, 8)]), 1)
+                elif k < 0.7:
+                    put(r.choice(["h2", "h2", "h3", "h4", "h5"]), words(1, 8, False), 1)
+                elif k < 0.75:
+                    tag = r.choice(["ul", "ul", "ol", "dl"])
+                    out.append(f"<{tag}>")
+                    for i in range(r.randint(1, 4)):
+                        put("li" if tag != "dl" else ("dt", "dd")[i % 2], words(1, 15), 1)
+                    out.append(f"</{tag}>")
+                elif k < 0.77 and wrapped:
+                    put("div", r.choice(["{}", "<p>{}</p>"]).format(sentence()), 1)
+                elif k < 0.78 and wrapped:
+                    put("section", f"<p>{sentence()}</p>", 1)
                 elif k < 0.8:
-                    put(r.choice(["h2", "h3"]), words(1, 8, False), 1)
-                elif k < 0.86:
-                    out.append("<ul>")
-                    for _ in range(r.randint(1, 4)):
-                        put("li", words(1, 15), 1)
-                    out.append("</ul>")
-                elif k < 0.9:
                     put("blockquote", sentence(), 1)
-                elif k < 0.92:
+                elif k < 0.82:
                     put("pre", words(2, 20, False), 1)
-                elif k < 0.94:
+                elif k < 0.83:
                     out.append("<table>")
                     for _ in range(2):
                         out.append("<tr>")
@@ -351,20 +382,20 @@ def labelled_pages(count: int = 500, seed: int = 7) -> list[tuple[str, list[int]
                             put("td", words(1, 4, False), 1)
                         out.append("</tr>")
                     out.append("</table>")
-                elif k < 0.96:
+                elif k < 0.85:
                     out.append("<figure>")
                     put("figcaption", words(2, 15), 1)
                     out.append("</figure>")
                 elif wrapped:
-                    r.choice([advert, advert, notice, side, form])()
+                    r.choice([advert, notice, side, form, simple, simple, simple])()
 
         put("title", words(2, 8, False), 0)
-        for f, chance in ((notice, 0.2), (advert, 0.3)):
+        for f, chance in ((notice, 0.2), (advert, 0.3), (simple, 0.3)):
             if r.random() < chance:
                 f()
         if r.random() < 0.5:
             box("header", "header", "masthead", "site-header", "top", bare=0.6, most=2) if r.random() < 0.7 else box("div", "header", "masthead", "logo", "site-header", "topbar", most=2)
-        for f, chance in ((menu, 0.8), (form, 0.2), (advert, 0.4), (side, 0.2), (menu, 0.15)):
+        for f, chance in ((menu, 0.8), (form, 0.2), (advert, 0.4), (side, 0.2), (menu, 0.15), (simple, 0.3)):
             if r.random() < chance:
                 f()
         start = r.choice(["<article>", "<article>", "<article class=post>", "<main>", '<main id="main">', "<main><article>", '<div id="content">', '<div class="article-body">', '<div class="post"><div class="entry-content">', '<section class="story">', '<div class="page"><article>', "<div>"])
@@ -373,7 +404,7 @@ def labelled_pages(count: int = 500, seed: int = 7) -> list[tuple[str, list[int]
         if start != "<div>" and r.random() < 0.15:
             comments()
         out.extend(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", start)))
-        for f, chance in ((comments, 0.4), (side, 0.3), (advert, 0.3), (form, 0.25), (menu, 0.15), (notice, 0.2)):
+        for f, chance in ((comments, 0.4), (side, 0.3), (advert, 0.3), (form, 0.25), (menu, 0.15), (notice, 0.2), (simple, 0.4), (simple, 0.3)):
             if r.random() < chance:
                 f()
         if r.random() < 0.8:
@@ -387,7 +418,7 @@ def labelled_pages(count: int = 500, seed: int = 7) -> list[tuple[str, list[int]
 
 
 @functools.lru_cache(maxsize=2)
-def trained(count: int = 400, seed: int = 7) -> Field:
+def trained(count: int = 500, seed: int = 7) -> Field:
     """The field fitted on labelled pages; a page whose markup gives other blocks than were labelled would be an error."""
     pages = []
     for page, labels in labelled_pages(count, seed):
