@@ -17,7 +17,7 @@ from .functions import columns as fc
 from .functions import projections as pr
 from .functions.specs import dotted, time_values
 from .functions.units import convert
-from .operators import combine, extract, horizontal, process, quality, slabs, stats, vertical
+from .operators import combine, derive, extract, horizontal, process, quality, slabs, stats, vertical
 
 
 @dataclass(frozen=True)
@@ -618,3 +618,69 @@ def creepfillval2d(spark, d):
 @query("select '10,20,...,35' as spec, unnest([10.0, 20.0, 30.0, 35.0])::double as v")
 def dotted_list(spark, d):
     return values(spark, [("10,20,...,35", float(v)) for v in dotted("10,20,...,35")], "spec string, v double")
+
+
+# --------------------------------------------------------------------------- derived variables and datasets
+
+
+@query(f"with {COL}, ab as (select distinct z, z * 11.0::double as ap, 1.0 - z / 8.0 as b from col_grid), ps as (select t, 1000.0 + t % 7 as ps from (select distinct t from col_grid)) select t, z, round(ap + b * ps, 4) as p from col_grid join ab using (z) join ps using (t)")
+def vtrans_formula_terms(spark, d):
+    g = col_grid(spark, d).select("t", "z")
+    ab = g.select("z").distinct().select("z", (F.col("z") * 11.0).alias("hyam"), (1.0 - F.col("z") / 8.0).alias("hybm"))
+    ps = g.select("t").distinct().select("t", (F.col("t") % 7 + 1000.0).alias("sp"))
+    both = derive.broadcast_terms(g, (ab, ["z"]), (ps, ["t"]))
+    return rounded(both.select("t", "z", derive.coordinate("atmosphere_hybrid_sigma_pressure_coordinate", "ap: hyam b: hybm ps: sp").alias("p")))
+
+
+@query(f"with {COL}, k as (select t, z, p, {_TK_SQL} * power(p / 1000, {fc.R_DRY / fc.CP!r}) as tk from col_grid) select t, z, round(tk, 4) as air_temperature, round(greatest(0, least(1, (z * 0.0001 * p / (0.622 + 0.378 * z * 0.0001)) / {_ES.format(t='tk')})), 4) as relative_humidity, round(-(z - 3.5::double) * tk * {_RG} / (p * 100), 4) as w from k")
+def pressure_conversions(spark, d):
+    g = col_grid(spark, d).withColumns({"air_potential_temperature": _TK(), "air_pressure": F.col("p"), "specific_humidity": F.col("z") * 0.0001, "omega": F.col("z") - 3.5})
+    out = derive.convert_by(g, "theta2T", "specific2relative", "omega2vwind;omega=omega;out=w")
+    return rounded(out.select("t", "z", "air_temperature", "relative_humidity", "w"))
+
+
+@query(f"with {COL} select t, z, round(-ln(p / 1013.25) * {fc.R_DRY * 288.15 / fc.G!r}, 3) as altitude from col_grid")
+def altitude_standard(spark, d):
+    return derive.altitude(col_grid(spark, d).withColumn("air_pressure", F.col("p")), ["t"]).select("t", "z", F.round("altitude", 3).alias("altitude"))
+
+
+@query(f"with {PART}, q as (select cast(a.i as int) as x, cast(b.i as int) as y, 1.5 + a.i * 1.25 as px, 2.25 + b.i * 1.5 as py from range(12) a(i), range(10) b(i)), n as (select q.x as ox, q.y as oy, floor(px) + i as x, floor(py) + j as y, (case i when 0 then 1 - (px - floor(px)) else px - floor(px) end) * (case j when 0 then 1 - (py - floor(py)) else py - floor(py) end) as w from q, (values (0), (1)) a(i), (values (0), (1)) b(j)) select cast(oy as int) as y, cast(ox as int) as x, round(case when count(v) = count(*) then sum(w * v) end, 4) as v from n left join part_grid g using (x, y) where w <> 0 group by ox, oy")
+def dataset_to_grid(spark, d):
+    from .plans.dataset import GridDataset
+
+    g = GridDataset(part_grid(spark, d), ("y", "x"), t=None)
+    out = g.to_grid("v", [1.5 + 1.25 * i for i in range(12)], [2.25 + 1.5 * j for j in range(10)], (0.0, 1.0, 0.0, 1.0))
+    return rounded(out.df)
+
+
+@query(f"with {EVENTS}, a as (select t, x, sum(v) over (partition by x order by t) as v from events_grid) select t, x - 2 as x, round(v, 4) as v from a where x between 2 and 8")
+def config_run(spark, d):
+    from .plans.dataset import GridDataset, run_config
+
+    g = GridDataset(events_grid(spark, d), ("t", "x"))
+    return rounded(run_config(g, "[extract]\nreduceDimension.name=x\nreduceDimension.start=2\nreduceDimension.end=8\n[process]\naccumulateVariable=v\n").df)
+
+
+@query("select unnest(['t2m', 'rh']) as var")
+def find_variables(spark, d):
+    rows = [("t2m", "standard_name", "air_temperature"), ("t2m", "units", "K"), ("rh", "standard_name", "air_humidity"), ("rh", "units", "1"), ("ps", "standard_name", "surface_pressure"), ("ps", "units", "Pa"), ("x", "standard_name", "air_x")]
+    return extract.find_variables(values(spark, rows, "var string, name string, value string"), {"standard_name": "air_.*", "units": ".*"})
+
+
+@query()
+def vector_to_latlon(spark, d):
+    """Winds on a polar grid turned to east and north; their speed stays."""
+    p = pr.parse("+proj=stere +lat_0=90 +lon_0=0 +lat_ts=60 +a=6371000 +e=0")
+    g = uv_grid(spark, d).withColumns({"px": F.col("x") * 50000.0 + 200000.0, "py": F.col("y") * -50000.0 - 100000.0})
+    lon, lat = p.inverse(F.col("px"), F.col("py"))
+    g = g.withColumns({"lon": lon, "lat": lat, "before": F.hypot("u", "v")})
+    out = process.rotate_vectors(g, "u", "v", pr.north_angle(p, F.col("lon"), F.col("lat")))
+    return rounded(out.select("t", "x", "y", "u", "v", (F.hypot("u", "v") - F.col("before")).alias("change")))
+
+
+@query()
+def vertical_velocity(spark, d):
+    g = col_grid(spark, d).select((F.col("z") - 1).alias("z"), F.col("t"), (F.col("p") * 100).alias("air_pressure"))
+    cells = g.join(F.broadcast(spark.range(30).select((F.col("id") % 6).cast("int").alias("x"), F.floor(F.col("id") / 6).cast("int").alias("y"))))
+    cells = cells.withColumns({"x_wind": F.col("x") * 1.5 + F.col("z"), "y_wind": F.col("y") * 0.5 - F.col("z"), "air_temperature": 290.0 - F.col("z") * 6.5})
+    return rounded(derive.add_vertical_velocity(cells))
