@@ -40,6 +40,8 @@ SIGNS = {
 SIGN_COST, REPEAT_COST = 0.7, 0.3
 #: Cost of a sign that stands for nothing: of one that has no letter, or of one to three or more that have.
 DROP_COST, DROP_LETTER_COST = 1.0, (12.0, 8.0, 1.0)
+#: Before and after a word these are punctuation.
+PUNCTUATION = "!|(<+¡"
 EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»“”‘’…–—¿¡"
 
 # Bytes by class: 0 is whatever ends a word, a-z are 1-26, other UTF-8 bytes share the rest.
@@ -103,7 +105,8 @@ class Decoder:
                     out.append([(c, REPEAT_COST), (c + c, REPEAT_COST)])
             else:
                 letters = SIGNS.get(c, "")
-                out.append([("", DROP_LETTER_COST[min(n, 3) - 1] if letters else DROP_COST)] + [(x, SIGN_COST) for x in letters] + ([(x + x, SIGN_COST) for x in letters] if n > 1 else []))
+                loose = not letters or c in PUNCTUATION and (i == len(word) or i == n)
+                out.append([("", DROP_COST if loose else DROP_LETTER_COST[min(n, 3) - 1])] + [(x, SIGN_COST) for x in letters] + ([(x + x, SIGN_COST) for x in letters] if n > 1 else []))
         return out
 
     def decode(self, word: str) -> str:
@@ -181,6 +184,20 @@ def features(counts: Counter, reader: Reader) -> set[str]:
     return out
 
 
+def general(precision: dict[str, float], slack: float = 0.01) -> list[str]:
+    """Features in the given order, without those that a more general one, a shorter beginning of the same, makes no worse.
+
+    So a marked beginning has one weight, and not parts of it in every longer word that was seen with it.
+    """
+
+    def wider(f: str) -> list[str]:
+        stem = f.rstrip(" ")
+        out = [f"{stem[:k]} " for k in BEGINNINGS if k < len(stem)]
+        return [*out, f"{stem} "] if f.endswith("  ") else out
+
+    return [f for f, p in precision.items() if not any(precision.get(g, -1.0) >= p - slack for g in wider(f))]
+
+
 class Model:
     """Marked words and beginnings with their weights."""
 
@@ -249,8 +266,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, costs: np.nda
     counted = rows.mapInArrow(tally, "f string, toxic long, n long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     rate = bad / n
     gain = F.col("toxic") - F.col("n") * F.lit(rate)
-    best = counted.where(F.col("toxic") >= 3).withColumn("z", gain / F.sqrt(F.col("n") * rate * (1 - rate))).where("z >= 4").orderBy(F.desc("z"), "f").limit(MAX_FEATURES).collect()
-    names = sorted(r["f"] for r in best)
+    best = counted.where(F.col("toxic") >= 3).withColumn("z", gain / F.sqrt(F.col("n") * rate * (1 - rate))).where("z >= 4").orderBy(F.desc("z"), "f").limit(5 * MAX_FEATURES).collect()
+    names = sorted(general({r["f"]: (r["toxic"] + 0.5) / (r["n"] + 1) for r in best})[:MAX_FEATURES])
     if not names:
         return Model([], np.zeros(0), math.log(rate / (1 - rate)))
     index = {f: i for i, f in enumerate(names)}
