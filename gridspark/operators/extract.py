@@ -83,11 +83,16 @@ def reduce_axis(df: DataFrame, dim: str, value: str, low: float | None, high: fl
 
 
 def reduce_time(df: DataFrame, time: str, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
-    """Times within limits, which are included; an open end has no limit. Pushed down as a filter."""
+    """Times within limits, which are included; an open end has no limit.
+
+    Limits have the column's own kind of timestamp: a cast of the column would keep the filter from the scan.
+    """
+    kind = dict(df.dtypes)[time]
+    limit = lambda v: F.expr(f"timestamp_ntz'{v.isoformat(sep=' ')}'") if kind == "timestamp_ntz" else F.lit(v)
     out = df
     if start is not None:
-        out = out.where(F.col(time) >= F.lit(start))
-    return out if end is None else out.where(F.col(time) <= F.lit(end))
+        out = out.where(F.col(time) >= limit(start))
+    return out if end is None else out.where(F.col(time) <= limit(end))
 
 
 def bounding_box(df: DataFrame, south: float, north: float, west: float, east: float, x: str = "x", y: str = "y", lon: str = "lon", lat: str = "lat") -> DataFrame:

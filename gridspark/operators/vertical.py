@@ -1,8 +1,8 @@
-"""Vertical and time interpolation: brackets by conditional aggregates, one shuffle by cell whatever the number of levels.
+"""Vertical and time interpolation.
 
-For each cell and target, the nearest level at or below it and the nearest above are found with ``max_by`` and ``min_by``; where
-one side has none, the two levels nearest to the target take their place (extrapolation). Values are bracketed by coordinate, so
-a missing value at a bracket makes the result missing.
+Each cell's levels are gathered once into a sorted column, an array as long as there are levels, whatever the number of targets; a
+target's brackets are then the levels around it in that array: the nearest at or below it and the next above, or the outermost two
+where one side has none (extrapolation). Values are bracketed by coordinate, so a missing value at a bracket makes the result missing.
 """
 
 from __future__ import annotations
@@ -45,26 +45,15 @@ def interpolate(df: DataFrame, z: Column, values: Iterable[str], targets: DataFr
     otherwise each cell has its own. A target that meets a level exactly has its value.
     """
     cell, values, on = list(cell), list(values), list(on)
-    rows = df.withColumn("_z", z).where("_z is not null").select(*cell, "_z", *values)
-    extra = [c for c in targets.columns if c not in on]
-    rows = rows.join(targets, on) if on else rows.join(F.broadcast(targets))
-    at, zs = F.col(target), F.col("_z")
-    low, high = zs <= at, zs > at
-    pick = F.struct(*(F.col(v) for v in values), zs.alias("_z"))
-    got = rows.groupBy(*dict.fromkeys([*cell, *extra])).agg(F.max_by(F.when(low, pick), F.when(low, zs)).alias("_lo"), F.min_by(F.when(high, pick), F.when(high, zs)).alias("_hi"), F.count(F.when(low, 1)).alias("_nlo"), F.count(F.when(high, 1)).alias("_nhi"), *_second(zs, at, pick))
-    lo = F.when(F.col("_nlo") == 0, F.col("_first_above")).otherwise(F.when(F.col("_nhi") == 0, F.col("_second_below")).otherwise(F.col("_lo")))
-    hi = F.when(F.col("_nhi") == 0, F.col("_lo")).otherwise(F.when(F.col("_nlo") == 0, F.col("_second_above")).otherwise(F.col("_hi")))
-    got = got.withColumns({"_a": lo, "_b": hi})
-    exact = F.col("_lo")["_z"] == at
-    out = [F.when(exact, F.col("_lo")[v]).otherwise(between(F.col("_a")[v], F.col("_b")[v], F.col("_a")["_z"], F.col("_b")["_z"], at, method)).alias(v) for v in values]
-    return got.select(*dict.fromkeys([*cell, *extra]), *out)
-
-
-def _second(zs: Column, at: Column, pick: Column) -> list[Column]:
-    """The two lowest levels above, and the second highest at or below: brackets of targets outside the levels."""
-    above = F.sort_array(F.collect_list(F.when(zs > at, F.struct(zs.alias("k"), pick.alias("p")))))
-    below = F.sort_array(F.collect_list(F.when(zs <= at, F.struct((-zs).alias("k"), pick.alias("p")))))
-    return [F.try_element_at(above, F.lit(1))["p"].alias("_first_above"), F.try_element_at(above, F.lit(2))["p"].alias("_second_above"), F.try_element_at(below, F.lit(2))["p"].alias("_second_below")]
+    rows = df.withColumn("_z", z).where("_z is not null")
+    columns = rows.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("_z", *values))).alias("_p"))
+    both = columns.join(targets, on) if on else columns.join(F.broadcast(targets))
+    at, p = F.col(target), F.col("_p")
+    both = both.withColumn("_n", F.size(F.filter(p, lambda q: q["_z"] <= at)))
+    low = F.greatest(F.lit(1), F.least(F.size(p) - 1, F.col("_n")))
+    both = both.withColumns({"_a": F.get(p, low - 1), "_b": F.get(p, low), "_at": F.get(p, F.col("_n") - 1)})
+    out = [F.when(F.col("_at")["_z"] == at, F.col("_at")[v]).otherwise(between(F.col("_a")[v], F.col("_b")[v], F.col("_a")["_z"], F.col("_b")["_z"], at, method)).alias(v) for v in values]
+    return both.select(*dict.fromkeys([*cell, *targets.columns]), *out)
 
 
 def within_validity(value: Column, z: Column, low: Column | None = None, high: Column | None = None) -> Column:

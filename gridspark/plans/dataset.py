@@ -124,6 +124,18 @@ class GridDataset:
     def overlay(self, top: GridDataset, *values: str) -> GridDataset:
         return self.with_df(combine.overlay(self.df, top.df, self.dims, values))
 
+    def nest(self, inner: GridDataset, value: str, inner_axes: tuple[list[float], list[float]], outer_axes: tuple[list[float], list[float]], transition: int = 5, border: int = 2, method: str = "bilinear") -> GridDataset:
+        """This field with a finer one inside: on the inner axes, extended over this one's extent, the inner borders passing smoothly into it."""
+        (xi, yi), (xo, yo) = inner_axes, outer_axes
+        regular = lambda a: (a[0], a[1] - a[0])
+        wide = [combine.merged_axis(i, o) for i, o in ((xi, xo), (yi, yo))]
+        around = self.to_grid(value, *wide, (*regular(xo), *regular(yo)), method=method)
+        near = self.to_grid(value, xi, yi, (*regular(xo), *regular(yo)), method=method)
+        smooth = combine.merge_smooth(inner.df, near.df, (self.y, self.x), value, len(xi), len(yi), transition, border, x=self.x, y=self.y)
+        shift = [min(range(len(w)), key=lambda k, w=w, i=i: abs(w[k] - i[0])) for w, i in zip(wide, (xi, yi), strict=True)]
+        moved = smooth.withColumns({self.x: F.col(self.x) + shift[0], self.y: F.col(self.y) + shift[1]})
+        return around.with_df(combine.overlay(around.df, moved, (self.y, self.x), [value]))
+
     def upsert(self, source: GridDataset, *values: str) -> GridDataset:
         return self.with_df(combine.upsert(self.df, source.df, self.dims, values or self.variables))
 
