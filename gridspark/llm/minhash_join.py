@@ -138,7 +138,7 @@ class Join:
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of ``pairs(a, b)``, those with enough equal coordinates and a similarity of SIMILAR or more on the full sets."""
         side = lambda c: self.classes.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-        near = pairs.join(side("a"), "a").where("true").join(side("b"), "b")
+        near = pairs.join(side("a"), "a").join(side("b"), "b")
         equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         near = near.where((100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")) & (equal >= LEAST)).select("a", "b")
         near = self.scratch.write(near, "near")
@@ -206,7 +206,8 @@ class Join:
         """``(_id, n_shingles, component_id)`` per row."""
         comp = self.classes.join(self.linked(), "node", "left").select("_s1", "_s2", "id", F.coalesce("comp", "node").alias("comp"))
         comp = self.scratch.write(comp, "comp")
-        least = comp.groupBy("comp").agg(F.min("id").alias("component_id"))
+        # Written, so that the join by component has exchanges of its own and Spark can split a large component.
+        least = self.scratch.write(comp.groupBy("comp").agg(F.min("id").alias("component_id")), "least")
         out = self.signed.select("_id", "n_shingles", "_s1", "_s2").join(comp.join(least, "comp").select("_s1", "_s2", "component_id"), ["_s1", "_s2"], "left")
         own = F.col("_id").isNull() | (F.col("n_shingles") == 0)
         return out.select("_id", "n_shingles", F.when(own, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
