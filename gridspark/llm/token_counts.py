@@ -134,6 +134,8 @@ def count_tokens(spark: SparkSession, docs: DataFrame, cache: str, tokenizer: st
     misses.repartition("_key").mapInArrow(encode, CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
     # Two runs at once may both have stored a key: their counts are equal.
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == name).groupBy(F.col("content").alias("_key")).agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, so that the join by key has exchanges of its own and Spark can split a hot text's rows.
+    counts = Scratch(spark, "token-counts").write(counts, "counts")
     rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])))
     out = arrow_map(rows, text, keys, [T.StructField("_key", T.BinaryType()), T.StructField("n_bytes", T.LongType())], keep).join(counts, "_key")
     return out.select(*(F.col(f"`{c}`") for c in keep), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
