@@ -114,6 +114,30 @@ class GridDataset:
         out = one(self.df, at, value, x=self.x, y=self.y)
         return replace(self, df=out.select(F.col("oy").alias(self.y), F.col("ox").alias(self.x), value), dims=(self.y, self.x), t=None)
 
+    def to_points(self, value: str, lonlat: list[tuple[float, float]], source: tuple[float, float, float, float], own_proj: str, method: str = "nearest") -> GridDataset:
+        """Values at points given by longitude and latitude, as a row x = 0, 1, ... with y = 0."""
+        spark, own = self.df.sparkSession, parse(own_proj)
+        at = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(lonlat)], "id int, lon double, lat double")
+        px, py = own.forward(F.col("lon"), F.col("lat"))
+        x0, dx, y0, dy = source
+        at = at.select("id", "lon", "lat", horizontal.position(px, x0, dx, 360.0 if own.name == "latlong" else None).alias("px"), horizontal.position(py, y0, dy).alias("py"))
+        one = {"nearest": horizontal.nearest, "bilinear": horizontal.bilinear, "bicubic": horizontal.bicubic}[method]
+        out = one(self.df, at, value, x=self.x, y=self.y)
+        return replace(self, df=out.select(F.lit(0).alias(self.y), F.col("id").alias(self.x), "lon", "lat", value), dims=(self.y, self.x), t=None)
+
+    def cross_section(self, value: str, corners: list[tuple[float, float]], source: tuple[float, float, float, float], proj: str, method: str = "bilinear") -> GridDataset:
+        """Values along straight lines, on this grid's map, through corners given by longitude and latitude."""
+        spark, own = self.df.sparkSession, parse(proj)
+        x, y = own.forward(F.col("lon"), F.col("lat"))
+        ends = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(corners)], "k int, lon double, lat double").select("k", x.alias("x"), y.alias("y"))
+        line = horizontal.cross_section([(r["x"], r["y"]) for r in ends.orderBy("k").collect()], source[1], source[3])  # a few corners
+        at = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(line)], "id int, xv double, yv double")
+        lon, lat = own.inverse(F.col("xv"), F.col("yv"))
+        at = at.select("id", lon.alias("lon"), lat.alias("lat"), horizontal.position(F.col("xv"), source[0], source[1]).alias("px"), horizontal.position(F.col("yv"), source[2], source[3]).alias("py"))
+        one = {"nearest": horizontal.nearest, "bilinear": horizontal.bilinear, "bicubic": horizontal.bicubic}[method]
+        out = one(self.df, at, value, x=self.x, y=self.y)
+        return replace(self, df=out.select(F.lit(0).alias(self.y), F.col("id").alias(self.x), "lon", "lat", value), dims=(self.y, self.x), t=None)
+
     # several datasets
     def join_existing(self, *others: GridDataset) -> GridDataset:
         return self.with_df(combine.join_existing([self.df, *(o.df for o in others)], self.t))

@@ -37,3 +37,13 @@ def test_nesting(spark):
     got = {(r["y"], r["x"]): r["v"] for r in o.nest(i, "v", (axis_i, axis_i), (axis_o, axis_o), 3, 1).df.collect()}
     assert len(got) == 26 * 26 and got[0, 0] == 100 and got[7 + 6, 7 + 6] == 500
     assert got[7, 7] == pytest.approx(100 + 14 + 14) and 128 < got[7 + 3, 7 + 6] < 500
+
+
+def test_points_and_sections(spark):
+    cells = [(y, x, float(x + 100 * y)) for y in range(9) for x in range(36)]
+    g = GridDataset(spark.createDataFrame(cells, "y int, x int, v double"), ("y", "x"), t=None)
+    source, proj = (-180.0, 10.0, -40.0, 10.0), "+proj=latlong"
+    got = [r["v"] for r in g.to_points("v", [(0, 0), (179, 40), (-174, 0), (0, 80)], source, proj).df.orderBy("x").collect()]
+    assert got == [418.0, 800.0, 401.0, None]
+    line = g.cross_section("v", [(0, 0), (40, 0), (40, 20)], source, proj).df.orderBy("x").collect()
+    assert [r["v"] for r in line] == pytest.approx([418, 419, 420, 421, 422, 522, 622]) and line[-1]["lat"] == pytest.approx(20)
