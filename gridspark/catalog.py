@@ -28,6 +28,8 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 DIGITS = 4
+#: Keeps values off the ties of rounding, where the order of a sum would decide.
+FACTOR = 1.047197551
 
 
 def query(sql: str | None = None):
@@ -48,39 +50,39 @@ def rounded(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- grids
 
-EVENTS = "events_grid as (select cast(date_diff('day', date '2024-01-01', cast(ts as date)) as int) as t, cast(user_id % 10 as int) as x, sum(value) as v from events group by all)"
-PART = "part_grid as (select cast(l_suppkey % 20 as int) as x, cast(l_partkey % 20 as int) as y, avg(l_quantity) as v from lineitem group by all)"
-COL = "col_grid as (select cast(year(l_shipdate) as int) as t, cast(l_linenumber as int) as z, (1000.0 - 120.0 * (l_linenumber - 1))::double as p, avg(l_extendedprice) as v from lineitem group by all)"
-LONLAT = "points as (select c_custkey as id, ((c_custkey * 37) % 360 - 180)::double as lon, ((c_custkey * 17) % 140 - 70)::double as lat, c_acctbal as v from customer)"
+EVENTS = "events_grid as (select cast(date_diff('day', date '2024-01-01', cast(ts as date)) as int) as t, cast(user_id % 10 as int) as x, sum(value) * 1.047197551 as v from events group by all)"
+PART = "part_grid as (select cast(l_suppkey % 20 as int) as x, cast(l_partkey % 20 as int) as y, avg(l_quantity) * 1.047197551 as v from lineitem group by all)"
+COL = "col_grid as (select cast(year(l_shipdate) as int) as t, cast(l_linenumber as int) as z, (1000.0 - 120.0 * (l_linenumber - 1))::double as p, avg(l_extendedprice) * 1.047197551 as v from lineitem group by all)"
+LONLAT = "points as (select c_custkey as id, ((c_custkey * 37) % 360 - 180)::double as lon, ((c_custkey * 17) % 140 - 70)::double as lat, c_acctbal * 1.047197551 as v from customer)"
 UV = "uv_grid as (select cast(year(l_shipdate) as int) as t, cast(l_suppkey % 20 as int) as x, cast(l_partkey % 20 as int) as y, avg(l_discount) * 1.047197551 as u, avg(l_tax) * 1.047197551 as v from lineitem group by all)"
-STATUS = "status_grid as (select cast(year(o_orderdate) as int) as t, cast(o_custkey % 20 as int) as x, sum(o_totalprice) as v, cast(max(case o_orderstatus when 'O' then 2 when 'F' then 1 else 0 end) + count(*) % 3 as double) as status from orders group by all)"
+STATUS = "status_grid as (select cast(year(o_orderdate) as int) as t, cast(o_custkey % 20 as int) as x, sum(o_totalprice) * 1.047197551 as v, cast(max(case o_orderstatus when 'O' then 2 when 'F' then 1 else 0 end) + count(*) % 3 as double) as status from orders group by all)"
 
 
 def events_grid(spark, d):
-    return table(spark, d, "events").groupBy(F.datediff("ts", F.lit("2024-01-01")).alias("t"), (F.col("user_id") % 10).cast("int").alias("x")).agg(F.sum("value").alias("v"))
+    return table(spark, d, "events").groupBy(F.datediff("ts", F.lit("2024-01-01")).alias("t"), (F.col("user_id") % 10).cast("int").alias("x")).agg((F.sum("value") * FACTOR).alias("v"))
 
 
 def part_grid(spark, d):
-    return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 20).cast("int").alias("x"), (F.col("l_partkey") % 20).cast("int").alias("y")).agg(F.avg("l_quantity").alias("v"))
+    return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 20).cast("int").alias("x"), (F.col("l_partkey") % 20).cast("int").alias("y")).agg((F.avg("l_quantity") * FACTOR).alias("v"))
 
 
 def col_grid(spark, d):
-    g = table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("t"), F.col("l_linenumber").cast("int").alias("z")).agg(F.avg("l_extendedprice").alias("v"))
+    g = table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("t"), F.col("l_linenumber").cast("int").alias("z")).agg((F.avg("l_extendedprice") * FACTOR).alias("v"))
     return g.withColumn("p", 1000.0 - (F.col("z") - 1) * 120.0)
 
 
 def points(spark, d):
     k = F.col("c_custkey")
-    return table(spark, d, "customer").select(k.alias("id"), ((k * 37) % 360 - 180).cast("double").alias("lon"), ((k * 17) % 140 - 70).cast("double").alias("lat"), F.col("c_acctbal").alias("v"))
+    return table(spark, d, "customer").select(k.alias("id"), ((k * 37) % 360 - 180).cast("double").alias("lon"), ((k * 17) % 140 - 70).cast("double").alias("lat"), (F.col("c_acctbal") * FACTOR).alias("v"))
 
 
 def uv_grid(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("t"), (F.col("l_suppkey") % 20).cast("int").alias("x"), (F.col("l_partkey") % 20).cast("int").alias("y")).agg((F.avg("l_discount") * 1.047197551).alias("u"), (F.avg("l_tax") * 1.047197551).alias("v"))
+    return table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("t"), (F.col("l_suppkey") % 20).cast("int").alias("x"), (F.col("l_partkey") % 20).cast("int").alias("y")).agg((F.avg("l_discount") * FACTOR).alias("u"), (F.avg("l_tax") * FACTOR).alias("v"))
 
 
 def status_grid(spark, d):
     code = F.when(F.col("o_orderstatus") == "O", 2).when(F.col("o_orderstatus") == "F", 1).otherwise(0)
-    return table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("t"), (F.col("o_custkey") % 20).cast("int").alias("x")).agg(F.sum("o_totalprice").alias("v"), (F.max(code) + F.count("*") % 3).cast("double").alias("status"))
+    return table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("t"), (F.col("o_custkey") % 20).cast("int").alias("x")).agg((F.sum("o_totalprice") * FACTOR).alias("v"), (F.max(code) + F.count("*") % 3).cast("double").alias("status"))
 
 
 def values(spark, rows, schema):
