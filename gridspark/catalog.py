@@ -465,7 +465,7 @@ _AT = "spots as (select id, (id * 7 % 190) / 10.0 - 0.3 as px, (id * 13 % 200) /
 
 def _at(spark, d):
     i = F.col("id")
-    return points(spark, d).where("id < 400").select("id", (i * 7 % 190 / 10.0 - 0.3).alias("px"), (i * 13 % 200 / 10.0 - 0.2).alias("py"))
+    return points(spark, d).select("id", (i * 7 % 190 / 10.0 - 0.3).alias("px"), (i * 13 % 200 / 10.0 - 0.2).alias("py"))
 
 
 @query(f"with {LONLAT}, {PART}, {_AT} select id, round(px, 4) as px, round(py, 4) as py, round(g.v, 4) as v from spots left join part_grid g on g.x = round(px) and g.y = round(py)")
