@@ -66,3 +66,19 @@ def test_positions_of_all_points(spark, tables, name):
         else:
             want = around(px, py, (-1, 2), cubic) if name == "bicubic" else around(px, py, (0, 1), lambda t: 1 - abs(t))
         assert v == (None if want is None else pytest.approx(want, abs=1e-3)), i
+
+
+def test_nearest_cells_of_all_points(spark, tables):
+    def angle(a, b):
+        (lo, la), (so, sa) = ([math.radians(v) for v in p] for p in (a, b))
+        return math.acos(max(-1.0, min(1.0, math.sin(la) * math.sin(sa) + math.cos(la) * math.cos(sa) * math.cos(lo - so))))
+
+    got = {r["id"]: r for r in catalog.QUERIES["hint_coord_nearest"].run(spark, tables).collect()}
+    assert sorted(got) == list(range(1, N + 1))
+    cells = {k: (float(k * 53 % 360 - 180), float(k * 29 % 160 - 80)) for k in range(1, SUPPLIERS + 1)}
+    for i, r in got.items():
+        far, k = min((round(angle(lonlat(i), at) * 6371000, 3), k) for k, at in cells.items())
+        if far > 900000:
+            assert r["v"] is None and r["distance"] is None, i
+        else:
+            assert r["v"] == 10.0 * k and abs(r["distance"] - far) <= 1, i
