@@ -369,8 +369,9 @@ _SPEC = "0,6,...,x,x+6;relativeUnit=hours since 2024-01-01 00:00:00"
 
 @query(f"with {EVENTS}, daily as (select timestamp '2024-01-01' + interval (t) day as ts, x, v from events_grid where t < 6), times as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-06 06:00:00', interval 6 hour)) as target), axis as (select ts as ta, lead(ts) over (order by ts) as tb, lag(ts) over (order by ts) as b, lead(ts, 2) over (order by ts) as n from (select distinct ts from daily)), p as (select target, ta, tb from times, axis where tb is not null and ((target >= ta and target < tb) or (b is null and target < ta) or (n is null and target >= tb))), i as (select target, a.x, a.v as va, e.v as vb, (epoch_us(target) - epoch_us(ta)) / (epoch_us(tb) - epoch_us(ta)) as f from p join daily a on a.ts = ta left join daily e on e.ts = tb and e.x = a.x) select x, target, round(case when f = 0 then va when f = 1 then vb else va + f * (vb - va) end, 4) as v from i")
 def time_interp_relative_spec(spark, d):
-    daily = events_grid(spark, d).where("t < 6").select(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(t)").alias("ts"), "x", "v")
-    times = time_values(_SPEC, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 6))
+    daily = events_grid(spark, d).select(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(t)").alias("ts"), "x", "v")
+    first, last = table(spark, d, "events").agg(*(f(F.datediff("ts", F.lit("2024-01-01"))) for f in (F.min, F.max))).first()
+    times = [] if first is None else time_values(_SPEC, *(dt.datetime(2024, 1, 1) + dt.timedelta(days=t) for t in (first, last)))
     targets = values(spark, [(t,) for t in times], "target timestamp_ntz")
     return rounded(vertical.interpolate_time(daily, "ts", targets, "target", ["v"], ["x"]))
 

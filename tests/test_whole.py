@@ -82,3 +82,14 @@ def test_nearest_cells_of_all_points(spark, tables):
             assert r["v"] is None and r["distance"] is None, i
         else:
             assert r["v"] == 10.0 * k and abs(r["distance"] - far) <= 1, i
+
+
+def test_relative_times_over_the_whole_axis(spark, tables):
+    got = {(r["x"], r["target"]): r["v"] for r in catalog.QUERIES["time_interp_relative_spec"].run(spark, tables).collect()}
+    start, value = dt.datetime(2024, 1, 3), lambda t, u: (1.0 + t * t + u) * catalog.FACTOR
+    hours = range(0, 8 * 24 + 7, 6)  # from the first day to six hours after the last
+    assert sorted(got) == sorted((u, start + dt.timedelta(hours=h)) for u in range(3) for h in hours)
+    for (u, at), v in got.items():
+        f = (at - start) / dt.timedelta(days=1)
+        a = min(int(f), 7)
+        assert v == pytest.approx(value(a, u) + (f - a) * (value(a + 1, u) - value(a, u)), abs=1e-3), (u, at)
