@@ -1,7 +1,7 @@
 """Toxicity through a noisy channel.
 
 Disguised words (leetspeak, letters spaced out, letters repeated) become character lattices: each written character may stand for
-some letters, or for none. Viterbi decoding under a character language model, which is counted over all texts, restores the
+some letters, or for none, and a space within a run of short tokens for nothing or for a word's end. Viterbi decoding under a character language model, which is counted over all texts, restores the
 likeliest word, and a linear classifier scores the restored text.
 
 The classifier learns from the labels which words and word beginnings mark toxic texts; it is fitted on at most ``MAX_TRAIN``
@@ -15,6 +15,7 @@ table gives an empty table.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -38,10 +39,14 @@ SIGNS = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 SIGN_COST, REPEAT_COST = 0.7, 0.3
+#: Cost of a space that stands for nothing.
+GLUE_COST = 0.3
 #: Cost of a sign that stands for nothing: of one that has no letter, or of one to three or more that have.
 DROP_COST, DROP_LETTER_COST = 1.0, (12.0, 8.0, 1.0)
 #: Before and after a word these are punctuation.
 PUNCTUATION = "!|(<+¡"
+#: Runs of tokens of one or two characters, and of one, by the tokens' lengths.
+SHORT, SINGLE = re.compile(b"[\x01\x02]{2,}"), re.compile(b"\x01{4,}")
 EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»“”‘’…–—¿¡"
 
 # Bytes by class: 0 is whatever ends a word, a-z are 1-26, other UTF-8 bytes share the rest.
@@ -76,6 +81,14 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return -np.log(three).astype(np.float32)
 
 
+def _written(path: tuple) -> str:
+    out = []
+    while path:
+        path, s = path
+        out.append(s)
+    return "".join(reversed(out))
+
+
 class Decoder:
     """Restores a disguised word."""
 
@@ -96,7 +109,9 @@ class Decoder:
             while j < len(word) and word[j] == c:
                 j += 1
             n, i = j - i, j
-            if c.isalpha():
+            if c == " ":
+                out.append([(" ", 0.0), ("", GLUE_COST)])
+            elif c.isalpha():
                 if n == 1:
                     out.append([(c, 0.0)])
                 elif n == 2:
@@ -111,9 +126,9 @@ class Decoder:
 
     def decode(self, word: str) -> str:
         """Viterbi over states of the last two classes."""
-        costs, states = self.costs, {(0, 0): (0.0, "")}
+        costs, states = self.costs, {(0, 0): (0.0, ())}
         for options in self.lattice(word):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, path) in states.items():
                 for s, extra in options:
                     x, y, total = a, b, cost + extra
@@ -121,20 +136,22 @@ class Decoder:
                         total += float(costs[x, y, k])
                         x, y = y, k
                     if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = (total, path + s)
+                        new[x, y] = (total, (path, s))
             states = new
-        return min((cost + float(costs[a, b, 0]), path) for (a, b), (cost, path) in states.items())[1]
+        return min((cost + float(costs[a, b, 0]), _written(path)) for (a, b), (cost, path) in states.items())[1]
 
 
 def plain(word: str) -> bool:
-    """Whether a word has letters only and no letter three times in a row."""
-    return word.isalpha() and not any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False))
+    """Whether a word has letters only and no letter twice in a row."""
+    return word.isalpha() and not any(a == b for a, b in zip(word, word[1:], strict=False))
 
 
 class Reader:
     """Gives the forms of a text's words: as written without what surrounds them, and restored."""
 
     MEMORY = 1 << 20
+    #: Longer runs of short tokens hardly come again.
+    LONG = 24
 
     def __init__(self, costs: np.ndarray):
         self.decoder = Decoder(costs)
@@ -142,6 +159,14 @@ class Reader:
 
     def of(self, token: str) -> tuple[str, ...]:
         if (x := self.forms.get(token)) is None:
+            if " " in token:
+                x = tuple(sorted({w for w in self.decoder.decode(token).split(" ") if w} - set(token.split(" "))))
+                if len(token) > self.LONG:
+                    return x
+                if len(self.forms) >= self.MEMORY:
+                    self.forms.clear()
+                self.forms[token] = x
+                return x
             core = token.strip(EDGES)
             x = {core} if core else set()
             if not plain(token) and any(c.isalnum() for c in token):
@@ -154,17 +179,17 @@ class Reader:
 
     @staticmethod
     def tokens(text: str) -> Counter:
-        """The text's words in lower case and how often each occurs; letters spaced out are put together as further words."""
+        """The text's words in lower case and how often each occurs.
+
+        Further entries are the runs of short tokens, with their spaces, and the letters of a run put together.
+        """
         words = text.lower().split()
         counts = Counter(words)
-        sizes = bytes([n if n < 2 else 2 for n in map(len, words)])
-        at = sizes.find(b"\1\1\1\1")
-        while at >= 0:
-            end = at
-            while end < len(sizes) and sizes[end] == 1:
-                end += 1
-            counts["".join(words[at:end])] += 1
-            at = sizes.find(b"\1\1\1\1", end)
+        sizes = bytes([min(n, 3) for n in map(len, words)])
+        for m in SINGLE.finditer(sizes):
+            counts["".join(words[m.start() : m.end()])] += 1
+        for m in SHORT.finditer(sizes):
+            counts[" ".join(words[m.start() : m.end()])] += 1
         return counts
 
 
@@ -213,9 +238,11 @@ class Model:
                 forms = reader.of(token)
                 words = tuple(w for w in forms if w in self.weights)
                 starts = tuple(w[:k] for w in forms for k in BEGINNINGS if len(w) > k and (f"{w[:k]} " in self.weights or f"{w[:k]}  " in self.weights))
-                if len(self.tokens) >= Reader.MEMORY:
-                    self.tokens.clear()
-                x = self.tokens[token] = (words, starts) if words or starts else ()
+                x = (words, starts) if words or starts else ()
+                if " " not in token or len(token) <= Reader.LONG:
+                    if len(self.tokens) >= Reader.MEMORY:
+                        self.tokens.clear()
+                    self.tokens[token] = x
             if x:
                 found.update(x[0])
                 for s in x[1]:
