@@ -532,11 +532,11 @@ _R = pr.RADIUS
 def _projected(name, proj, x, y):
     def run(spark, d):
         p = pr.parse(proj)
-        px, py = p.forward(F.col("lon"), F.col("lat"))
+        px, py = (F.when(~F.isnan(c), c) for c in p.forward(F.col("lon"), F.col("lat")))  # null where it is undefined
         lon, lat = p.inverse(F.col("x"), F.col("y"))
-        out = points(spark, d).where("lat > -49").select("id", "lon", "lat", px.alias("x"), py.alias("y"))
+        out = points(spark, d).select("id", "lon", "lat", px.alias("x"), py.alias("y"))
         near = F.abs(fc.longitude180(lon - F.col("lon") + 0.0)) * F.cos(F.radians("lat"))
-        return out.select("id", F.round(F.col("x") / 1000 + 0.0, 3).alias("x"), F.round(F.col("y") / 1000 + 0.0, 3).alias("y"), ((near < 1e-5) & (F.abs(lat - F.col("lat")) < 1e-5)).alias("back"))
+        return out.select("id", F.round(F.col("x") / 1000 + 0.0, 3).alias("x"), F.round(F.col("y") / 1000 + 0.0, 3).alias("y"), ((near < 1e-5) & (F.abs(lat - F.col("lat")) < 1e-5) & F.col("x").isNotNull()).alias("back"))
 
     sql = f"with {LONLAT}, q as (select id, radians(lon) as l, radians(lat) as b, lon, lat from points where lat > -49) select id, round(({x}) / 1000 + 0.0, 3) as x, round(({y}) / 1000 + 0.0, 3) as y, true as back from q"
     QUERIES[f"proj_{name}"] = Query(run, sql)
@@ -570,7 +570,7 @@ def proj_roundtrip_all(spark, d):
     for text in defs:
         q = pr.parse(text)
         x, y = q.forward(F.col("lon"), F.col("lat"))
-        rows = p.where("lat > -60").select("lon", "lat", x.alias("x"), y.alias("y")).where(~F.isnan("x") & ~F.isnan("y"))
+        rows = p.select("lon", "lat", x.alias("x"), y.alias("y")).where(~F.isnan("x") & ~F.isnan("y"))
         lon, lat = q.inverse(F.col("x"), F.col("y"))
         off = fc.central_angle(F.col("lon"), F.col("lat"), lon, lat)
         one = rows.agg(F.lit(text).alias("projection"), F.count("x").alias("points"), F.count_if(off < 1e-6).alias("back"))

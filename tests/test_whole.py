@@ -9,7 +9,7 @@ import pytest
 
 from gridspark import catalog
 
-N = 700
+N = 1100
 SUPPLIERS = 40
 
 
@@ -93,3 +93,22 @@ def test_relative_times_over_the_whole_axis(spark, tables):
         f = (at - start) / dt.timedelta(days=1)
         a = min(int(f), 7)
         assert v == pytest.approx(value(a, u) + (f - a) * (value(a + 1, u) - value(a, u)), abs=1e-3), (u, at)
+
+
+@pytest.mark.parametrize("name", ["merc", "polar_stere", "sinu", "cea", "laea", "lcc", "tmerc"])
+def test_projections_of_all_points(spark, tables, name):
+    got = {r["id"]: r for r in catalog.QUERIES[f"proj_{name}"].run(spark, tables).collect()}
+    assert sorted(got) == list(range(1, N + 1))
+    opposite = [i for i in got if name == "laea" and lonlat(i) == (-180.0, -50.0)]  # of the centre, where it is undefined
+    assert [i for i, r in got.items() if not r["back"]] == opposite
+    assert [i for i, r in got.items() if r["x"] is None or r["y"] is None] == opposite
+    if name == "sinu":
+        for i, r in got.items():
+            lon, lat = lonlat(i)
+            assert r["x"] == pytest.approx(math.radians(lon) * math.cos(math.radians(lat)) * 6371, abs=2e-3) and r["y"] == pytest.approx(math.radians(lat) * 6371, abs=2e-3), i
+
+
+def test_round_trips_of_all_points(spark, tables):
+    got = {r["projection"].split()[0]: r for r in catalog.QUERIES["proj_roundtrip_all"].run(spark, tables).collect()}
+    for name in ("latlong", "merc", "cea", "sinu", "utm"):
+        assert (got[f"+proj={name}"]["points"], got[f"+proj={name}"]["back"]) == (N, N), name
