@@ -27,7 +27,7 @@ from .common import arrow_map, table
 # Elements of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template svg math object".split())
+RAW = frozenset("script style template".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody", "tr"}, "tbody": {"thead", "tbody", "tr"}, "tfoot": {"tbody", "tr"}}
 KEEPS_P = frozenset("body html head td th caption button object".split())
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|([^<]++|<)", re.S)
@@ -115,6 +115,8 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
+        if tag == "title" and any(t == "svg" for t, _ in stack):  # of a drawing, no block
+            tag = "svg-title"
         if m[1] or m[4]:  # an end tag
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
