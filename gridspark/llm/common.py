@@ -111,6 +111,21 @@ def small(df: DataFrame, rows: int, bytes_per_row: int, limit: int = 32 << 20) -
     return F.broadcast(df) if rows * bytes_per_row <= limit else df
 
 
+def split_join(spark: SparkSession, left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, rows: int, by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``key``; left rows of a frequent key are dealt over several partitions.
+
+    ``sizes(key, n)`` are rows of ``left`` for each key and ``rows`` is their sum. A key is frequent if it has more than an even share
+    of a partition. There are fewer such keys than partitions, which bounds what is broadcast, and each is cut into shares by a
+    hash of ``by``. ``how``: inner, left or left_semi.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, -(-rows // parts))
+    hot = F.broadcast(sizes.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("_cuts")))
+    cut = left.join(hot, key, "left").withColumn("_cut", F.coalesce(F.pmod(F.xxhash64(by), F.col("_cuts")).cast("int"), F.lit(0))).drop("_cuts")
+    copies = right.join(hot, key, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))).drop("_cuts")
+    return cut.join(copies, [key, "_cut"], how).drop("_cut")
+
+
 # --------------------------------------------------------------------------- components
 
 
@@ -118,23 +133,27 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     """Connected components of ``edges(a, b)`` by alternating large and small stars.
 
     Returns ``(node, comp)``: each node of an edge with the smallest node it can reach. Every round is joins and partial
-    aggregates only; a hub's neighbours are never gathered into one row. Rounds are written to the shared folder. No edges: no rows.
+    aggregates only; a hub's neighbours are neither gathered into one row nor joined in one partition. Rounds are written to the
+    shared folder. No edges: no rows.
     """
     known = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     known = scratch.write(known, "cc")
     state = None
+    n = known.count()
     while True:
         both = known.union(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.write(star, "cc")
+        least = scratch.write(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
+        star = split_join(spark, both, least.select("u", "m"), "u", least.select("u", "n"), 2 * n, "v")
+        large = scratch.write(star.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
+        scratch.drop(least)
         # Small star: below each node only its smaller neighbours remain after the large star, as u > v in every edge.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(least, "u")
+        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        down = split_join(spark, large, least.select("u", "m"), "u", least.select("u", "n"), large.count(), "v")
         star = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         new = scratch.write(star, "cc")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(known, large)
+        n = now[0]
+        scratch.drop(known, large, least)
         known = new
         if tuple(now) == state:
             break

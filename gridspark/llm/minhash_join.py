@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TEXT_ROWS, Chunk, Scratch, arrow_map, chunks, components, mix, small, table
+from .common import TEXT_ROWS, Chunk, Scratch, arrow_map, chunks, components, mix, small, split_join, table
 
 WORDS = 5
 COORDINATES = 32
@@ -122,11 +122,15 @@ class Join:
     def prefixes(self) -> DataFrame:
         """``(key, node, weight)``: each class under the pairs of its prefix; weight: how often all its pairs are posted."""
         posted = self.classes.select("node", F.posexplode("sig").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("key"))
-        common = posted.groupBy("key").agg(F.count("*").alias("posts")).where("posts > 1")
-        shared = posted.join(common, "key")
+        shared = self.shared(posted, "key", COORDINATES * self.classes.count())
         ranked = shared.selectExpr("node", "key", "count(*) over (partition by node) as n", "sum(posts) over (partition by node) as weight", "row_number() over (partition by node order by posts, key) as rank")
         return self.scratch.write(ranked.where(f"n >= {LEAST} and rank <= n - {LEAST} + 1").select("key", "node", "weight"), "prefixes")
 
+    def shared(self, posted: DataFrame, key: str, rows: int) -> DataFrame:
+        """The ``rows`` rows of ``posted`` under keys that are posted twice or more, with their number ``posts``."""
+        common = self.scratch.write(posted.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "common")
+        return split_join(self.spark, posted, common.select(key, F.col("n").alias("posts")), key, common, rows, "node")
+
     def sets(self, nodes: DataFrame) -> DataFrame:
         """``(node, set)`` of the nodes that can have links; texts are read again for these only."""
         wanted = self.scratch.write(nodes.join(self.classes, "node").select("node", F.col("row._id").alias("i"), F.col("row._k1").alias("k1"), F.col("row._k2").alias("k2")), "wanted")
@@ -136,43 +140,59 @@ class Join:
         return self.scratch.write(got.dropDuplicates(["node"]), "sets", TEXT_ROWS)
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of ``pairs(a, b)``, those with enough equal coordinates and a similarity of SIMILAR or more on the full sets."""
+        """Of ``pairs(hub, node)``, those with enough equal coordinates and a similarity of SIMILAR or more on the full sets, as ``(a, b)`` with a < b.
+
+        A hub may be in very many pairs. Its pairs are dealt over partitions, and each partition is sent the hub's set once.
+        """
         side = lambda c: self.classes.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b")
-        equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        near = near.where((100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")) & (equal >= LEAST)).select("a", "b")
-        near = self.scratch.write(near, "near")
-        both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        sizes = self.scratch.write(pairs.groupBy("hub").agg(F.count("*").alias("n")), "sizes")
+        near = split_join(self.spark, pairs, side("hub"), "hub", sizes, pairs.count(), "node").join(side("node"), "node")
+        equal = F.aggregate(F.zip_with("shub", "snode", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        near = near.where((100 * F.least("nhub", "nnode") >= SIMILAR * F.greatest("nhub", "nnode")) & (equal >= LEAST)).select("hub", "node")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        near = self.scratch.write(near.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")), "near")
+        # A hub's set comes first in each of its parts, then the other sets of the pairs.
+        first = near.select("hub", "part").distinct().join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("long").alias("node"), "set")
+        rows = first.union(near.join(sets, "node").select("hub", "part", "node", "set")).repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("node"))
 
         def keep(batches):
+            hub = None
             for r in batches:
-                fits = []
-                for x, y in zip(r.column(2), r.column(3), strict=True):
-                    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    common = len(p) + len(q) - len(np.union1d(p, q))
-                    fits.append(100 * common >= SIMILAR * (len(p) + len(q) - common))
-                yield r.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
-
-        return self.scratch.write(both.select("a", "b", "x", "y").mapInArrow(keep, "a long, b long"), "links", TEXT_ROWS)
+                a, b = [], []
+                for h, node, x in zip(r.column(0).to_pylist(), r.column(2).to_pylist(), r.column(3), strict=True):
+                    q = np.frombuffer(x.as_buffer(), np.uint64)
+                    if node is None:
+                        hub = q.copy()  # the batch's memory is given back
+                        continue
+                    common = len(hub) + len(q) - len(np.union1d(hub, q))
+                    if 100 * common >= SIMILAR * (len(hub) + len(q) - common):
+                        a.append(min(h, node))
+                        b.append(max(h, node))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        return self.scratch.write(rows.mapInArrow(keep, "a long, b long"), "links", TEXT_ROWS)
 
     def linked(self) -> DataFrame:
         """``(node, comp)`` of the classes with links."""
         lists = self.prefixes()
         sets = self.sets(lists.select("node").distinct())
         # The hub shares most with the others: of copies with few or many changes, one with few.
-        hubs = lists.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
-        star = lists.join(hubs, "key").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        hubs = self.scratch.write(lists.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count("*").alias("n")), "hubs")
+        posts, sizes = lists.count(), hubs.select("key", "n")
+        star = split_join(self.spark, lists, hubs.select("key", "hub"), "key", sizes, posts, "node").where("node <> hub").select("hub", "node").distinct()
+        star = self.scratch.write(star, "star")
         links = self.confirmed(star, sets)
         found = self.scratch.write(components(self.spark, links, self.scratch), "found")
         # What is left: members of different components of a list; a list of two has been compared already.
         labelled = lists.join(found, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         left = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("key")
-        left = self.scratch.write(labelled.join(left, "key", "left_semi").select("node", "comp").distinct(), "left")
-        more = self.confirmed(self.by_shingles(left, sets).join(star, ["a", "b"], "left_anti"), sets)
+        left = self.scratch.write(split_join(self.spark, labelled, left, "key", sizes, posts, "node", "left_semi").select("node", "comp").distinct(), "left")
+        seen = star.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+        more = self.confirmed(self.scratch.write(self.by_shingles(left, sets).join(seen, ["hub", "node"], "left_anti"), "pairs"), sets)
         return components(self.spark, links.union(more), self.scratch)
 
     def by_shingles(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs ``(a, b)`` of ``nodes(node, comp)`` in different components that can reach SIMILAR, by the same join on the sets themselves.
+        """Pairs ``(hub, node)``, the lesser node first, of ``nodes(node, comp)`` in different components that can reach SIMILAR, by the same join on the sets themselves.
 
         Of a set of n shingles, rare ones first, one among n - ceil(0.75 n) + 1 is shared with every similar set, and the first
         shared one leaves as many others as the two sizes ask for. A copy with many changes has its own shingles first, so what it
@@ -189,18 +209,18 @@ class Join:
 
         posted = nodes.join(sets, "node").select("node", "comp", "set").mapInArrow(rows, "node long, comp long, n long, shingle long")
         posted = self.scratch.write(posted, "shingles", TEXT_ROWS)
-        common = posted.groupBy("shingle").agg(F.count("*").alias("posts")).where("posts > 1")
-        ranked = posted.join(common, "shingle").selectExpr("node", "comp", "n", "shingle", "n - count(*) over (partition by node) + row_number() over (partition by node order by posts, shingle) as rank")
+        ranked = self.shared(posted, "shingle", posted.count()).selectExpr("node", "comp", "n", "shingle", "n - count(*) over (partition by node) + row_number() over (partition by node order by posts, shingle) as rank")
         prefix = self.scratch.write(ranked.where(f"rank <= n - (n * {SIMILAR} + 99) div 100 + 1").select("shingle", "node", "comp", "n", "rank"), "prefix")
         self.scratch.drop(posted)
         # Most of a list is often one component; it needs no pairs of its own.
         sizes = prefix.groupBy("shingle", "comp").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("shingle").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
-        lists = self.scratch.write(prefix.join(largest, "shingle"), "lists")
+        largest = sizes.groupBy("shingle").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("n")).where("parts > 1")
+        largest = self.scratch.write(largest.select("shingle", "main", "n"), "largest")
+        lists = self.scratch.write(split_join(self.spark, prefix, largest.select("shingle", "main"), "shingle", largest.select("shingle", "n"), prefix.count(), "node"), "lists")
         rest = lists.where("comp <> main").select("shingle", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("rank").alias("rx"))
         # The first shingle that two sets share leaves them enough others: those after it in both.
         enough = f"100 * least(n, nx) >= {SIMILAR} * greatest(n, nx) and {100 + SIMILAR} * (1 + least(n - rank, nx - rx)) >= {SIMILAR} * (n + nx)"
-        return rest.join(lists, "shingle").where(f"comp <> cx and (comp = main or node > x) and {enough}").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        return rest.join(lists, "shingle").where(f"comp <> cx and (comp = main or node > x) and {enough}").select(F.least("x", "node").alias("hub"), F.greatest("x", "node").alias("node")).distinct()
 
     def result(self) -> DataFrame:
         """``(_id, n_shingles, component_id)`` per row."""
