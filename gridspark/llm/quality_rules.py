@@ -1,10 +1,15 @@
 """Quality rules as weak supervision.
 
-Each rule votes good, bad or abstains on a document. Expectation-maximisation over the counts of vote patterns estimates every
-rule's accuracy on good and on bad documents together with the share of good ones; a document is kept if its posterior
-probability of being good reaches a threshold. No rule alone rejects a document, except the two base rules of ``base_failed``.
+Each rule grades a document from 2 (surely good) to -2 (surely bad) or abstains (0). Expectation-maximisation over the counts of
+vote patterns estimates how often each rule gives each grade to good documents and to bad ones, and the share of the good ones; a
+document is kept if its posterior probability of being good reaches a threshold. No vote alone rejects a document: one bad vote of a rule
+that errs is outweighed, and several doubtful ones add up. Only the two base rules of ``base_failed`` are outside the model.
 
-Patterns are counted over all documents; there are at most 3 ** (number of rules) of them, so the driver's part is bounded by
+Most bad documents break one rule only, in which case votes depend on each other within the bad documents as a whole. So there is a
+kind of bad documents for each rule, told apart by where the estimation starts: in that kind the rule's grades are mostly bad ones. All
+shares and rates are estimated; priors worth ``STRENGTH`` of the documents, whatever their number, keep them off 0 and 1.
+
+Patterns are counted over all documents; there are at most 5 ** (number of rules) of them, so the driver's part is bounded by
 the rules and not by the data.
 
 Defined results: a null or empty text has no words (all counts 0) and is ``base_failed``. Repeated rows get equal results.
@@ -78,58 +83,86 @@ def _ratio(a: str, b: str):
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-def _vote(good, bad):
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def _grade(*steps: tuple) -> F.Column:
+    """The grade of the first condition that holds, else -2."""
+    out = F.lit(-2)
+    for grade, holds in reversed(steps):
+        out = F.when(holds, grade).otherwise(out)
+    return out
 
 
 def votes() -> dict:
-    """Name -> a column of 1 (good), -1 (bad) or 0 (abstains). All are ratios of counts, so they behave alike at every length."""
+    """Name -> a column of grades 2, 1, -1, -2, or 0 (abstains). All are ratios of counts, so they behave alike at every length."""
     mean = _ratio("word_chars", "n_words")
-    symbols, lines, repeats = _ratio("n_symbols", "n_words"), _ratio("n_dup_lines", "n_lines"), _ratio("n_repeat_words", "n_words")
+    symbols, lines = _ratio("n_symbols", "n_words"), _ratio("n_dup_lines", "n_lines")
     upper, bangs = _ratio("n_upper", "n_letters"), _ratio("n_bangs", "n_words")
-    marks = _ratio("n_symbols", "word_chars")
+    unless = lambda silent, vote: F.when(silent, 0).otherwise(vote)
     return {
-        "mean_word": _vote((mean >= 3) & (mean <= 10), (mean < 2) | (mean > 14)),
-        "symbols": _vote(symbols <= 0.05, symbols > 0.3),
-        "symbol_chars": _vote(marks <= 0.01, marks > 0.05),
-        "dup_lines": F.when(F.col("n_lines") < 3, 0).otherwise(_vote(lines <= 0.1, lines > 0.4)),
-        "repeats": _vote(repeats <= 0.2, repeats > 0.5),
-        "upper": F.when(F.col("n_letters") < 20, 0).otherwise(_vote(upper <= 0.2, upper > 0.6)),
-        "bangs": _vote(bangs <= 0.05, bangs > 0.3),
+        "mean_word": unless(F.col("n_words") == 0, _grade((2, mean.between(4, 6)), (1, mean.between(3, 7)), (-1, mean.between(2, 10)))),
+        "symbols": unless(F.col("n_words") == 0, _grade((2, symbols <= 0.01), (1, symbols <= 0.05), (-1, symbols <= 0.3))),
+        "dup_lines": unless(F.col("n_lines") < 3, _grade((2, lines <= 0.05), (1, lines <= 0.2), (-1, lines <= 0.4))),
+        "upper": unless(F.col("n_letters") < 20, _grade((2, upper <= 0.1), (1, upper <= 0.3), (-1, upper <= 0.6))),
+        "bangs": unless(F.col("n_words") == 0, _grade((2, bangs <= 0.02), (1, bangs <= 0.1), (-1, bangs <= 0.3))),
     }
 
 
+LEVELS = np.array([-2, -1, 1, 2])
+#: Where rates start, and what the priors hold: shares of the LEVELS for good documents, for the rule that names a kind of bad ones, and for others there.
+GOOD, NAMED, OTHERS = (0.002, 0.02, 0.12, 0.858), (0.5, 0.4, 0.06, 0.04), (0.1, 0.1, 0.15, 0.65)
+SHARE_GOOD, STRENGTH = 0.85, 0.002
+
+
 class Model:
-    """Share of good documents and, for each rule, how often its votes are bad ones on good and on bad documents.
+    """Shares of good documents and of each kind of bad ones (class 0 and the others), and ``rates[class, rule, level]`` of the votes.
 
-    Abstaining says nothing. A rule may err on good documents in ``most_wrong`` of cases at most and must find ``least_found`` of the bad ones at least.
-    These bounds name the classes: without them the two could change places, or shrink to the documents of one rule, since most
-    bad documents break a single rule.
+    Abstaining says nothing.
     """
 
-    most_wrong, least_found = 0.003, 0.2
-
-    def __init__(self, rules: list[str]):
-        self.rules, self.prior = rules, 0.85
-        self.good, self.bad = np.full(len(rules), 0.003), np.full(len(rules), 0.4)
+    def __init__(self, rules: list[str], strength: float = STRENGTH):
+        n = len(rules)
+        self.rules, self.strength = rules, strength
+        self.shares = np.array([SHARE_GOOD, *[(1 - SHARE_GOOD) / n] * n])
+        self.rates = np.tile(np.array(OTHERS), (n + 1, n, 1))
+        self.rates[0] = GOOD
+        self.rates[np.arange(1, n + 1), np.arange(n)] = NAMED
+        self._before = self.shares, self.rates
+
+    @property
+    def prior(self) -> float:
+        return float(self.shares[0])
+
+    @property
+    def good(self) -> np.ndarray:
+        """Of each rule's votes on good documents, the share of bad ones."""
+        return self.rates[0, :, LEVELS < 0].sum(0)
+
+    @property
+    def bad(self) -> np.ndarray:
+        """Of each rule's votes on bad documents, the share of bad ones."""
+        return np.einsum("c,crl->r", self.shares[1:], self.rates[1:, :, LEVELS < 0]) / self.shares[1:].sum()
+
+    def classes(self, patterns: np.ndarray) -> np.ndarray:
+        """Posterior probabilities of the classes, a row for each pattern."""
+        cast = patterns[:, :, None] == LEVELS
+        ll = np.log(self.shares) + np.einsum("prl,crl->pc", cast, np.log(self.rates))
+        p = np.exp(ll - ll.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        gap = np.where(patterns < 0, np.log(self.bad) - np.log(self.good), np.where(patterns > 0, np.log(1 - self.bad) - np.log(1 - self.good), 0)).sum(1)
-        return 1 / (1 + np.exp(np.clip(gap + np.log(1 - self.prior) - np.log(self.prior), -500, 500)))
-
-    @staticmethod
-    def _rates(patterns: np.ndarray, weights: np.ndarray, least: float, most: float) -> np.ndarray:
-        n = weights[:, None]
-        return np.clip(((n * (patterns < 0)).sum(0) + 1) / ((n * (patterns != 0)).sum(0) + 2), least, most)
-
-    def fit(self, patterns: np.ndarray, weights: np.ndarray, rounds: int = 200, tolerance: float = 1e-8) -> Model:
-        """Expectation-maximisation over vote patterns and how many documents have each."""
-        for _ in range(rounds if len(patterns) and weights.sum() else 0):
-            p, old = self.posterior(patterns), (self.prior, self.good, self.bad)
-            self.prior = float(np.clip((weights * p).sum() / weights.sum(), 0.5, 0.95))
-            self.good = self._rates(patterns, weights * p, 1e-4, self.most_wrong)
-            self.bad = self._rates(patterns, weights * (1 - p), self.least_found, 0.98)
-            if max(np.abs(np.asarray(x) - y).max() for x, y in zip(old, (self.prior, self.good, self.bad), strict=True)) < tolerance:
+        return self.classes(patterns)[:, 0]
+
+    def fit(self, patterns: np.ndarray, weights: np.ndarray, rounds: int = 1000, tolerance: float = 1e-9) -> Model:
+        """Expectation-maximisation over vote patterns and how many documents have each, until nothing changes by more than ``tolerance``."""
+        total = weights.sum()
+        cast = patterns[:, :, None] == LEVELS if len(patterns) else None
+        shares, rates = self._before
+        for _ in range(rounds if len(patterns) and total else 0):
+            w = self.classes(patterns) * (weights / total)[:, None]
+            old = self.shares, self.rates
+            self.shares = (w.sum(0) + self.strength * shares) / (1 + self.strength)
+            seen = np.einsum("pc,prl->crl", w, cast) + self.strength * shares[:, None, None] * rates
+            self.rates = seen / seen.sum(axis=2, keepdims=True)
+            if max(np.abs(x - y).max() for x, y in zip(old, (self.shares, self.rates), strict=True)) < tolerance:
                 break
         return self
 
@@ -151,11 +184,11 @@ def score_quality(spark: SparkSession, docs: DataFrame, text: str = "text", keep
     rules = votes()
     pattern = F.lit(0)
     for v in rules.values():
-        pattern = pattern * 3 + v + 1
+        pattern = pattern * 5 + v + 2
     counted = scratch.write(arrow_map(docs, text, count, fields, kept).withColumn("_pattern", pattern.cast("int")), "counts", TEXT_ROWS)
-    seen = counted.groupBy("_pattern").count().collect()  # at most 3 ** rules rows
+    seen = counted.groupBy("_pattern").count().collect()  # at most 5 ** rules rows
     codes = np.array([r["_pattern"] for r in seen], np.int64)
-    patterns = codes[:, None] // 3 ** np.arange(len(rules) - 1, -1, -1) % 3 - 1
+    patterns = codes[:, None] // 5 ** np.arange(len(rules) - 1, -1, -1) % 5 - 2
     model = Model(list(rules)).fit(patterns, np.array([r["count"] for r in seen], float))
     if len(codes):
         table_of = F.create_map(*chain.from_iterable((F.lit(int(c)), F.lit(float(p))) for c, p in zip(codes, model.posterior(patterns), strict=True)))
