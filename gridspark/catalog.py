@@ -351,13 +351,22 @@ def border_smoothing_linear(spark, d):
 
 
 def _times_sql(times):
-    return "times(target) as (values " + ", ".join(f"({t})" for t in times) + ")"
+    return "times as (select q::double as target from (values " + ", ".join(f"({t})" for t in times) + ") v(q))"
 
 
 _T = [-0.5, 0.0, 3.25, 7.0, 28.5, 29.0, 29.75, 31.5]
 
 
-@query(f"with {EVENTS}, {_times_sql(_T)}, axis as (select t as ta, lead(t) over (order by t) as tb, lag(t) over (order by t) as b, lead(t, 2) over (order by t) as n from (select distinct t from events_grid)), p as (select target, ta, tb from times, axis where tb is not null and ((target >= ta and target < tb) or (b is null and target < ta) or (n is null and target >= tb))), i as (select target, a.x, a.v as va, e.v as vb, (target - ta) / (tb - ta) as f from p join events_grid a on a.t = ta left join events_grid e on e.t = tb and e.x = a.x) select x, target::double as target, round(case when f = 0 then va when f = 1 then vb when f between -1 and 2 then va + f * (vb - va) end, 4) as v from i where f between -1 and 2 or f is null or true")
+def _pairs_sql(rows: str, number: str) -> str:
+    """The steps around each target and the two values of each cell there."""
+    return f"""ax as (select t, lag(t) over (order by t) as b, lead(t) over (order by t) as n from (select distinct t from {rows})),
+    lo as (select target, max(t) as lo from times left join ax on t < target group by target), hi as (select target, min(t) as hi from times left join ax on t >= target group by target),
+    p as (select target, case when lo is null then hi when hi is null then coalesce((select b from ax where t = lo), lo) else lo end as ta, case when hi is null then lo when lo is null then coalesce((select n from ax where t = hi), hi) else hi end as tb from lo join hi using (target)),
+    i as (select target, x, {number.format('target')} - {number.format('ta')} as num, {number.format('tb')} - {number.format('ta')} as den, max(case when t = ta then v end) as va, max(case when t = tb then v end) as vb from p join {rows} on t = ta or t = tb group by target, x, ta, tb),
+    f as (select *, num / nullif(den, 0) as f from i) select x, target, round(case when den = 0 or f = 0 then va when f = 1 then vb when f between -1 and 2 then va + f * (vb - va) end, 4) as v from f"""
+
+
+@query(f"with {EVENTS}, {_times_sql(_T)}, {_pairs_sql('events_grid', '({})::double')}")
 def time_interp_weak_extra(spark, d):
     times = values(spark, [(t,) for t in _T], "target double")
     return rounded(vertical.interpolate_time(events_grid(spark, d), "t", times, "target", ["v"], ["x"]))
@@ -367,7 +376,7 @@ _DAYS = "select x, t, v from events_grid"
 _SPEC = "0,6,...,x,x+6;relativeUnit=hours since 2024-01-01 00:00:00"
 
 
-@query(f"with {EVENTS}, daily as (select timestamp '2024-01-01' + interval (t) day as ts, x, v from events_grid where t < 6), times as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-06 06:00:00', interval 6 hour)) as target), axis as (select ts as ta, lead(ts) over (order by ts) as tb, lag(ts) over (order by ts) as b, lead(ts, 2) over (order by ts) as n from (select distinct ts from daily)), p as (select target, ta, tb from times, axis where tb is not null and ((target >= ta and target < tb) or (b is null and target < ta) or (n is null and target >= tb))), i as (select target, a.x, a.v as va, e.v as vb, (epoch_us(target) - epoch_us(ta)) / (epoch_us(tb) - epoch_us(ta)) as f from p join daily a on a.ts = ta left join daily e on e.ts = tb and e.x = a.x) select x, target, round(case when f = 0 then va when f = 1 then vb else va + f * (vb - va) end, 4) as v from i")
+@query(f"with {EVENTS}, daily as (select timestamp '2024-01-01' + interval (t) day as t, x, v from events_grid), times as (select unnest(generate_series((select min(t) from daily), (select max(t) from daily) + interval 6 hour, interval 6 hour)) as target), {_pairs_sql('daily', 'epoch_us({})::double')}")
 def time_interp_relative_spec(spark, d):
     daily = events_grid(spark, d).select(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(t)").alias("ts"), "x", "v")
     first, last = table(spark, d, "events").agg(*(f(F.datediff("ts", F.lit("2024-01-01"))) for f in (F.min, F.max))).first()
@@ -443,14 +452,25 @@ _physics("vtrans_ocean_g1", lambda: fc.ocean_s_g1(-_Z() / 8, -_Z() * _Z() / 64,
 _physics("vtrans_ocean_g2", lambda: fc.ocean_s_g2(-_Z() / 8, -_Z() * _Z() / 64, _V() / 100, F.lit(5.0), F.lit(0.5)), "-(0.5 + (0.5 + v / 100) * ((5 * (-z / 8.0) + v / 100 * (-z * z / 64.0)) / (v / 100 + 5)))")
 _physics("std_altitude", lambda: fc.standard_altitude(_P()), f"-ln(p / 1013.25) * {fc.R_DRY * 288.15 / fc.G!r}")
 _physics("std_pressure", lambda: fc.standard_pressure(_Z() * 1000), f"exp(-z * 1000.0 * {fc.G / (fc.R_DRY * 288.15)!r}) * 1013.25")
-_physics("height_to_altitude", lambda: _Z() * 10 + _V() / fc.G, f"z * 10.0 + v / {fc.G}")
 _physics("theta_to_t", lambda: fc.theta_to_temperature(_TK(), _P()), f"{_TK_SQL} * power(p / 1000, {fc.R_DRY / fc.CP!r})")
-_ES = "(6.112 * exp(17.67 * ({t} - 273.15) / ({t} - 273.15 + 243.5)))"
-_physics("specific_to_relative", lambda: fc.specific_to_relative(_Z() * 0.001, _TK(), _P()), f"greatest(0, least(1, (z * 0.001 * p / (0.622 + 0.378 * z * 0.001)) / {_ES.format(t=_TK_SQL)}))")
-_physics("relative_to_specific", lambda: fc.relative_to_specific(_Z() / 10, _TK(), _P()) * 1000, f"0.622 * (z / 10.0 * {_ES.format(t=_TK_SQL)}) / (p - 0.378 * (z / 10.0 * {_ES.format(t=_TK_SQL)})) * 1000")
-_physics("dewpoint_to_relative", lambda: fc.dewpoint_to_relative(_TK() - _Z(), _TK()), f"{_ES.format(t=f'({_TK_SQL} - z)')} / {_ES.format(t=_TK_SQL)}")
+_ES = "(610.78 * exp(17.269 * ({t} - 273.16) / ({t} - 35.86)))"
+_DEW = "17.625 * ({t} - 273.15) / (243.04 + ({t} - 273.15))"
+_physics("specific_to_relative", lambda: fc.specific_to_relative(_Z() * 0.001, _TK(), _P() * 100), f"greatest(0, least(100, 100 * z * 0.001 * p * 100 / ({_ES.format(t=_TK_SQL)} * 0.622)))")
+_physics("relative_to_specific", lambda: fc.relative_to_specific(_Z() * 10, _TK(), _P() * 100) * 1000, f"z * 10.0 * 0.01 * {_ES.format(t=_TK_SQL)} * 0.622 / (p * 100) * 1000")
+_physics("dewpoint_to_relative", lambda: fc.dewpoint_to_relative(_TK() - _Z(), _TK()), f"least(100, 100 * exp({_DEW.format(t=f'({_TK_SQL} - z)')} - {_DEW.format(t=_TK_SQL)}))")
 _physics("omega_to_w", lambda: fc.omega_to_w(_Z() - 3.5, _P() * 100, _TK()), f"-(z - 3.5::double) * {_TK_SQL} * {_RG} / (p * 100)")
-_physics("add_pressure_4d", lambda: fc.hybrid_pressure(_Z() * 11, 1.0 - _Z() / 8, _PS()), f"z * 11.0 + (1.0 - z / 8.0) * {_PS_SQL}")
+
+
+@query(f"with {COL} select t, z, round(z * 11.0 + (1.0 - z / 8.0) * {_PS_SQL}, 4) as v from col_grid")
+def add_pressure_4d(spark, d):
+    g = col_grid(spark, d).withColumns({"ap": _Z() * 1100, "b": 1.0 - _Z() / 8, "surface_air_pressure": _PS() * 100})
+    return rounded(derive.convert_by(g, "add4Dpressure;unit=Pa").select("t", "z", F.col("air_pressure4D").alias("v")))
+
+
+@query(f"with {COL} select t, z, round(z * 10.0 + v / {fc.G}, 4) as v from col_grid")
+def height_to_altitude(spark, d):
+    g = col_grid(spark, d).withColumns({"height": _Z() * 10, "surface_geopotential": F.col("v")})
+    return rounded(derive.altitude_from_height(g).select("t", "z", F.col("altitude").alias("v")))
 
 
 @query(f"with {COL}, g as (select t, z, p, {_TK_SQL} as tv, {_PS_SQL} + 10 as ps, coalesce(lag(p) over (partition by t order by p desc), {_PS_SQL} + 10) as below from col_grid) select t, z, round(12.5 + sum(ln(below / p) * tv * {_RG}) over (partition by t order by p desc), 3) as altitude from g")
@@ -461,7 +481,7 @@ def hypsometric_altitude(spark, d):
 
 # --------------------------------------------------------------------------- horizontal interpolation
 
-_AT = "spots as (select id, (id * 7 % 190) / 10.0 - 0.3 as px, (id * 13 % 200) / 10.0 - 0.2 as py from points where id < 400)"
+_AT = "spots as (select id, (id * 7 % 190) / 10.0 - 0.3 as px, (id * 13 % 200) / 10.0 - 0.2 as py from points)"
 
 
 def _at(spark, d):
@@ -474,7 +494,12 @@ def hint_nearest(spark, d):
     return rounded(horizontal.nearest(part_grid(spark, d), _at(spark, d), "v").select("id", "px", "py", "v"))
 
 
-@query(f"with {LONLAT}, {PART}, {_AT}, n as (select id, floor(px) + i as x, floor(py) + j as y, (case i when 0 then 1 - (px - floor(px)) else px - floor(px) end) * (case j when 0 then 1 - (py - floor(py)) else py - floor(py) end) as w from spots, (values (0), (1)) a(i), (values (0), (1)) b(j)), s as (select id, sum(w * v) as s, count(v) as n, count(*) as of from n left join part_grid g using (x, y) where w <> 0 group by id) select id, round(px, 4) as px, round(py, 4) as py, round(case when n = of then s end, 4) as v from spots left join s using (id)")
+_BILINEAR = """sz as (select max(x) + 1 as nx, max(y) + 1 as ny from part_grid), c as (select id, px, py, floor(px) >= 0 and floor(px) + 1 < nx as inx, floor(py) >= 0 and floor(py) + 1 < ny as iny from {0}, sz),
+n as (select id, case when inx then floor(px) + i else round(px) end as x, case when iny then floor(py) + j else round(py) end as y, (case when not inx then 1 when i = 0 then floor(px) + 1 - px else px - floor(px) end) * (case when not iny then 1 when j = 0 then floor(py) + 1 - py else py - floor(py) end) as w from c, (values (0), (1)) a(i), (values (0), (1)) b(j) where (inx or i = 0) and (iny or j = 0)),
+s as (select id, case when count(v) = count(*) then sum(w * v) end as v from n left join part_grid g using (x, y) group by id)"""
+
+
+@query(f"with {LONLAT}, {PART}, {_AT}, {_BILINEAR.format('spots')} select id, round(px, 4) as px, round(py, 4) as py, round(s.v, 4) as v from spots left join s using (id)")
 def hint_bilinear(spark, d):
     return rounded(horizontal.bilinear(part_grid(spark, d), _at(spark, d), "v"))
 
@@ -515,7 +540,7 @@ for _how in horizontal.FORWARD:
     _forward(_how, True)
 
 
-@query("with s as (select s_suppkey as cell, ((s_suppkey * 53) % 360 - 180)::double as lon, ((s_suppkey * 29) % 160 - 80)::double as lat, s_acctbal as v from supplier), " + LONLAT + f", d as (select id, cell, s.v, {_GEO.format(a='p.lon', b='p.lat', c='s.lon', d='s.lat')} * 6371000 as d from points p, s where id < 600), b as (select id, arg_min(v, row(round(d, 3), cell)) as v, min(d) as distance from d where d <= 900000 group by id) select id, round(b.v, 4) as v, round(distance, 0) as distance from (select id from points where id < 600) left join b using (id)")
+@query("with s as (select s_suppkey as cell, ((s_suppkey * 53) % 360 - 180)::double as lon, ((s_suppkey * 29) % 160 - 80)::double as lat, s_acctbal as v from supplier), " + LONLAT + f", d as (select id, cell, s.v, {_GEO.format(a='p.lon', b='p.lat', c='s.lon', d='s.lat')} * 6371000 as d from points p, s), b as (select id, arg_min(v, row(round(d, 3), cell)) as v, min(d) as distance from d where d <= 900000 group by id) select id, round(b.v, 4) as v, round(distance, 0) as distance from (select id from points) left join b using (id)")
 def hint_coord_nearest(spark, d):
     k = F.col("s_suppkey")
     source = table(spark, d, "supplier").select(k.alias("cell"), ((k * 53) % 360 - 180).cast("double").alias("lon"), ((k * 29) % 160 - 80).cast("double").alias("lat"), F.col("s_acctbal").alias("v"))
@@ -529,7 +554,7 @@ def hint_coord_nearest(spark, d):
 _R = pr.RADIUS
 
 
-def _projected(name, proj, x, y):
+def _projected(name, proj, x, y, back="true"):
     def run(spark, d):
         p = pr.parse(proj)
         px, py = (F.when(~F.isnan(c), c) for c in p.forward(F.col("lon"), F.col("lat")))  # null where it is undefined
@@ -538,7 +563,7 @@ def _projected(name, proj, x, y):
         near = F.abs(fc.longitude180(lon - F.col("lon") + 0.0)) * F.cos(F.radians("lat"))
         return out.select("id", F.round(F.col("x") / 1000 + 0.0, 3).alias("x"), F.round(F.col("y") / 1000 + 0.0, 3).alias("y"), ((near < 1e-5) & (F.abs(lat - F.col("lat")) < 1e-5) & F.col("x").isNotNull()).alias("back"))
 
-    sql = f"with {LONLAT}, q as (select id, radians(lon) as l, radians(lat) as b, lon, lat from points where lat > -49) select id, round(({x}) / 1000 + 0.0, 3) as x, round(({y}) / 1000 + 0.0, 3) as y, true as back from q"
+    sql = f"with {LONLAT}, q as (select id, radians(lon) as l, radians(lat) as b, lon, lat from points) select id, round(({x}) / 1000 + 0.0, 3) as x, round(({y}) / 1000 + 0.0, 3) as y, {back} as back from q"
     QUERIES[f"proj_{name}"] = Query(run, sql)
 
 
@@ -546,8 +571,9 @@ _projected("merc", "+proj=merc +lat_ts=30 +a=6371000 +e=0", f"l * {_R} * cos(rad
 _projected("polar_stere", "+proj=stere +lat_0=90 +lon_0=0 +lat_ts=60 +a=6371000 +e=0", f"{_R} * (1 + sin(radians(60))) * tan(pi() / 4 - b / 2) * sin(l)", f"-{_R} * (1 + sin(radians(60))) * tan(pi() / 4 - b / 2) * cos(l)")
 _projected("sinu", "+proj=sinu +a=6371000 +e=0", f"l * cos(b) * {_R}", f"b * {_R}")
 _projected("cea", "+proj=cea +lat_ts=40 +a=6371000 +e=0", f"l * cos(radians(40)) * {_R}", f"sin(b) / cos(radians(40)) * {_R}")
-_K = "sqrt(2 / (1 + sin(radians(50)) * sin(b) + cos(radians(50)) * cos(b) * cos(l)))"
-_projected("laea", "+proj=laea +lat_0=50 +lon_0=0 +a=6371000 +e=0", f"{_R} * {_K} * cos(b) * sin(l)", f"{_R} * {_K} * (cos(radians(50)) * sin(b) - sin(radians(50)) * cos(b) * cos(l))")
+_OPPOSITE = "(lon = -180 and lat = -50)"  # of the centre: undefined
+_K = f"(case when {_OPPOSITE} then null else sqrt(2 / (1 + sin(radians(50)) * sin(b) + cos(radians(50)) * cos(b) * cos(l))) end)"
+_projected("laea", "+proj=laea +lat_0=50 +lon_0=0 +a=6371000 +e=0", f"{_R} * {_K} * cos(b) * sin(l)", f"{_R} * {_K} * (cos(radians(50)) * sin(b) - sin(radians(50)) * cos(b) * cos(l))", f"not {_OPPOSITE}")
 _N = "sin(radians(60))"
 _F = f"(cos(radians(60)) * power(tan(pi() / 4 + radians(30)), {_N}) / {_N} * {_R})"
 _projected("lcc", "+proj=lcc +lat_0=60 +lon_0=0 +lat_1=60 +lat_2=60 +a=6371000 +e=0", f"{_F} * power(tan(pi() / 4 + b / 2), -{_N}) * sin({_N} * l)", f"{_F} * power(tan(pi() / 4 + radians(30)), -{_N}) - {_F} * power(tan(pi() / 4 + b / 2), -{_N}) * cos({_N} * l)")
@@ -635,7 +661,7 @@ def vtrans_formula_terms(spark, d):
     return rounded(both.select("t", "z", derive.coordinate("atmosphere_hybrid_sigma_pressure_coordinate", "ap: hyam b: hybm ps: sp").alias("p")))
 
 
-@query(f"with {COL}, k as (select t, z, p, {_TK_SQL} * power(p / 1000, {fc.R_DRY / fc.CP!r}) as tk from col_grid) select t, z, round(tk, 4) as air_temperature, round(greatest(0, least(1, (z * 0.0001 * p / (0.622 + 0.378 * z * 0.0001)) / {_ES.format(t='tk')})), 4) as relative_humidity, round(-(z - 3.5::double) * tk * {_RG} / (p * 100), 4) as w from k")
+@query(f"with {COL}, k as (select t, z, p, {_TK_SQL} * power(p / 1000, {fc.R_DRY / fc.CP!r}) as tk from col_grid) select t, z, round(tk, 4) as air_temperature, round(greatest(0, least(100, 100 * z * 0.0001 * p * 100 / ({_ES.format(t='tk')} * 0.622))), 4) as relative_humidity, round(-(z - 3.5::double) * tk * {_RG} / (p * 100), 4) as w from k")
 def pressure_conversions(spark, d):
     g = col_grid(spark, d).withColumns({"air_potential_temperature": _TK(), "air_pressure": F.col("p"), "specific_humidity": F.col("z") * 0.0001, "omega": F.col("z") - 3.5})
     out = derive.convert_by(g, "theta2T", "specific2relative", "omega2vwind;omega=omega;out=w")
@@ -647,7 +673,7 @@ def altitude_standard(spark, d):
     return derive.altitude(col_grid(spark, d).withColumn("air_pressure", F.col("p")), ["t"]).select("t", "z", F.round("altitude", 3).alias("altitude"))
 
 
-@query(f"with {PART}, q as (select cast(a.i as int) as x, cast(b.i as int) as y, 1.5 + a.i * 1.25 as px, 2.25 + b.i * 1.5 as py from range(12) a(i), range(10) b(i)), n as (select q.x as ox, q.y as oy, floor(px) + i as x, floor(py) + j as y, (case i when 0 then 1 - (px - floor(px)) else px - floor(px) end) * (case j when 0 then 1 - (py - floor(py)) else py - floor(py) end) as w from q, (values (0), (1)) a(i), (values (0), (1)) b(j)) select cast(oy as int) as y, cast(ox as int) as x, round(case when count(v) = count(*) then sum(w * v) end, 4) as v from n left join part_grid g using (x, y) where w <> 0 group by ox, oy")
+@query(f"with {PART}, q as (select a.i + 12 * b.i as id, 1.5 + a.i * 1.25 as px, 2.25 + b.i * 1.5 as py from range(12) a(i), range(10) b(i)), {_BILINEAR.format('q')} select cast(id // 12 as int) as y, cast(id % 12 as int) as x, round(v, 4) as v from s")
 def dataset_to_grid(spark, d):
     from .plans.dataset import GridDataset
 
@@ -670,20 +696,28 @@ def find_variables(spark, d):
     return extract.find_variables(values(spark, rows, "var string, name string, value string"), {"standard_name": "air_.*", "units": ".*"})
 
 
-@query()
+@query(f"with {UV}, g as (select *, atan2(x * 50000.0 + 200000, y * 50000.0 + 100000) as l from uv_grid) select t, x, y, round(u * cos(l) + v * sin(l) + 0.0, 3) as u, round(v * cos(l) - u * sin(l) + 0.0, 3) as v, 0.0::double as change from g")
 def vector_to_latlon(spark, d):
     """Winds on a polar grid turned to east and north; their speed stays."""
     p = pr.parse("+proj=stere +lat_0=90 +lon_0=0 +lat_ts=60 +a=6371000 +e=0")
     g = uv_grid(spark, d).withColumns({"px": F.col("x") * 50000.0 + 200000.0, "py": F.col("y") * -50000.0 - 100000.0})
     lon, lat = p.inverse(F.col("px"), F.col("py"))
     g = g.withColumns({"lon": lon, "lat": lat, "before": F.hypot("u", "v")})
-    out = process.rotate_vectors(g, "u", "v", pr.north_angle(p, F.col("lon"), F.col("lat")))
-    return rounded(out.select("t", "x", "y", "u", "v", (F.hypot("u", "v") - F.col("before")).alias("change")))
+    out = process.rotate_all(g, {"u": "x_wind", "v": "y_wind"}, pr.north_angle(p, F.col("lon"), F.col("lat")))
+    return out.select("t", "x", "y", *(F.round(F.col(c) + 0.0, 3).alias(c) for c in ("u", "v")), (F.round(F.hypot("u", "v") - F.col("before"), 3) + 0.0).alias("change"))
+
+
+def hybrid(levels: int) -> tuple[list[float], list[float]]:
+    """Coefficients of levels between half levels that go from no pressure to the surface's."""
+    half = [(20000.0 * (k / levels) * (1 - k / levels), (k / levels) ** 2) for k in range(levels + 1)]
+    return tuple([(p[i] + q[i]) / 2 for p, q in zip(half, half[1:], strict=False)] for i in (0, 1))
 
 
 @query()
 def vertical_velocity(spark, d):
-    g = col_grid(spark, d).select((F.col("z") - 1).alias("z"), F.col("t"), (F.col("p") * 100).alias("air_pressure"))
-    cells = g.join(F.broadcast(spark.range(30).select((F.col("id") % 6).cast("int").alias("x"), F.floor(F.col("id") / 6).cast("int").alias("y"))))
-    cells = cells.withColumns({"x_wind": F.col("x") * 1.5 + F.col("z"), "y_wind": F.col("y") * 0.5 - F.col("z"), "air_temperature": 290.0 - F.col("z") * 6.5})
-    return rounded(derive.add_vertical_velocity(cells))
+    """Seven levels above each year's field of winds."""
+    levels = values(spark, [(k, a, b) for k, (a, b) in enumerate(zip(*hybrid(7), strict=True))], "z int, ap double, b double")
+    g = uv_grid(spark, d).join(F.broadcast(levels))
+    z, x, y = F.col("z"), F.col("x"), F.col("y")
+    g = g.select("t", "z", "y", "x", (F.col("u") * (z + 1) * 100).alias("x_wind"), (F.col("v") * (z + 1) * 100).alias("y_wind"), (220.0 + z * 10).alias("air_temperature"), "ap", "b", (101000.0 - x * 20).alias("surface_air_pressure"), (y * 15.0).alias("surface_altitude"), (x * 0.5).alias("lon"), (60.0 + y * 0.25).alias("lat"))
+    return rounded(derive.add_vertical_velocity(g, step=(25000.0, 25000.0), lon="lon", lat="lat"))

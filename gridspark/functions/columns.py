@@ -138,7 +138,7 @@ def standard_pressure(altitude: Column) -> Column:
 
 
 def virtual_temperature(specific_humidity: Column, temperature: Column) -> Column:
-    return temperature * (1.0 + 0.608 * specific_humidity)
+    return temperature * (1.0 + (1 / MOL_WEIGHT_RATIO - 1) * specific_humidity)
 
 
 def layer_thickness(p_low: Column, p_high: Column, virtual: Column) -> Column:
@@ -154,25 +154,33 @@ def theta_to_temperature(theta: Column, pressure_hpa: Column) -> Column:
     return theta * F.pow(pressure_hpa / 1000.0, F.lit(R_DRY / CP))
 
 
+# Fixed values of the humidity formulas: pressures in Pa, temperatures in K, relative humidity in percent.
+MOL_WEIGHT_RATIO = 0.622
+SATURATION = (610.78, 17.269, 273.16, 35.86)
+DEWPOINT = (17.625, 243.04)
+
+
 def saturation_pressure(temperature: Column) -> Column:
-    """Over water, hPa, by a Magnus formula."""
-    t = temperature - T0
-    return 6.112 * F.exp(F.try_divide(17.67 * t, t + 243.5))
+    """Over water, in Pa."""
+    at_zero, slope, zero, offset = SATURATION
+    return at_zero * F.exp(F.try_divide(slope * (temperature - zero), temperature - offset))
 
 
-def specific_to_relative(specific: Column, temperature: Column, pressure_hpa: Column) -> Column:
-    """Relative humidity, 0 to 1."""
-    e = F.try_divide(specific * pressure_hpa, 0.622 + 0.378 * specific)
-    return clamp(F.try_divide(e, saturation_pressure(temperature)), 0.0, 1.0)
+def specific_to_relative(specific: Column, temperature: Column, pressure: Column) -> Column:
+    """Relative humidity in percent, 0 to 100; pressure in Pa."""
+    return clamp(F.try_divide(100.0 * specific * pressure, saturation_pressure(temperature) * MOL_WEIGHT_RATIO), 0.0, 100.0)
 
 
-def relative_to_specific(relative: Column, temperature: Column, pressure_hpa: Column) -> Column:
-    e = relative * saturation_pressure(temperature)
-    return F.try_divide(0.622 * e, pressure_hpa - 0.378 * e)
+def relative_to_specific(relative: Column, temperature: Column, pressure: Column) -> Column:
+    """Specific humidity, not below 0; relative humidity in percent, pressure in Pa."""
+    return clamp(F.try_divide(relative * 0.01 * saturation_pressure(temperature) * MOL_WEIGHT_RATIO, pressure), 0.0)
 
 
 def dewpoint_to_relative(dewpoint: Column, temperature: Column) -> Column:
-    return clamp(F.try_divide(saturation_pressure(dewpoint), saturation_pressure(temperature)), 0.0, 1.0)
+    """Relative humidity in percent, 100 at most."""
+    slope, offset = DEWPOINT
+    part = lambda k: F.try_divide(slope * (k - T0), offset + (k - T0))
+    return clamp(100.0 * F.exp(part(dewpoint) - part(temperature)), None, 100.0)
 
 
 def omega_to_w(omega: Column, pressure: Column, temperature: Column) -> Column:

@@ -297,7 +297,7 @@ def north_angle(p: Projection, lon: Column, lat: Column, step: float = 1e-4) ->
     from .columns import bearing
 
     x, y = p.forward(lon, lat)
-    up = p.inverse(x, y + (step if p.degrees else 100.0))
+    up = p.inverse(x, y + (step if p.degrees else 10.0))
     return -bearing(lon, lat, *up)
 
 

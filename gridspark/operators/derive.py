@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as fc
+from ..functions.sizes import small
 from ..functions.units import convert
 from . import process, slabs, vertical
 
@@ -25,12 +26,12 @@ def _theta(df: DataFrame, o: dict[str, str]) -> DataFrame:
 
 
 def _humidity(df: DataFrame, o: dict[str, str]) -> DataFrame:
-    """relative from specific humidity; with theta, temperature is derived first"""
+    """relative humidity in percent from specific humidity; pressure in hPa; with theta, temperature is derived first"""
     t = F.col(o.get("temperature", "air_temperature"))
     p = F.col(o.get("pressure", "air_pressure"))
     if "theta" in o:
         t = fc.theta_to_temperature(F.col(o["theta"]), p)
-    return df.withColumn(o.get("out", "relative_humidity"), fc.specific_to_relative(F.col(o.get("specific", "specific_humidity")), t, p))
+    return df.withColumn(o.get("out", "relative_humidity"), fc.specific_to_relative(F.col(o.get("specific", "specific_humidity")), t, p * 100.0))
 
 
 def _omega(df: DataFrame, o: dict[str, str]) -> DataFrame:
@@ -91,7 +92,7 @@ def coordinate(standard_name: str, formula_terms: str) -> Column:
 def broadcast_terms(df: DataFrame, *terms: tuple[DataFrame, list[str]]) -> DataFrame:
     """Joins variables of fewer dimensions, each on those that it has."""
     for other, dims in terms:
-        df = df.join(other, dims, "left") if dims else df.join(F.broadcast(other))
+        df = df.join(other, dims, "left") if dims else df.join(small(other))
     return df
 
 
@@ -107,6 +108,12 @@ def altitude(df: DataFrame, cell: Iterable[str], pressure: str = "air_pressure")
     return df.withColumn("altitude", fc.standard_altitude(F.col(pressure)))
 
 
+def altitude_from_height(df: DataFrame) -> DataFrame:
+    """``altitude`` from ``height`` above a surface whose altitude or geopotential is there."""
+    ground = F.col("surface_altitude") if "surface_altitude" in df.columns else F.col("surface_geopotential") / fc.G
+    return df.withColumn("altitude", F.col("height") + ground)
+
+
 def height_from_altitude(df: DataFrame) -> DataFrame:
     return df.withColumn("height", F.col("altitude") - F.col("surface_altitude"))
 
@@ -119,9 +126,17 @@ def to_template(df: DataFrame, z: Column, values: Iterable[str], template: DataF
 # --------------------------------------------------------------------------- vertical velocity
 
 
-def add_vertical_velocity(df: DataFrame, t: str = "t", z: str = "z", y: str = "y", x: str = "x", u: str = "x_wind", v: str = "y_wind", temperature: str = "air_temperature", pressure: str = "air_pressure", step: tuple[float, float] = (1000.0, 1000.0)) -> DataFrame:
-    """``upward_air_velocity`` of each cell, from a time's whole field (the unit of work); pressure in Pa, ``step`` the grid's distances."""
+def add_vertical_velocity(
+    df: DataFrame, t: str = "t", z: str = "z", y: str = "y", x: str = "x", u: str = "x_wind", v: str = "y_wind", temperature: str = "air_temperature", ap: str = "ap", b: str = "b",
+    ps: str = "surface_air_pressure", zs: str = "surface_altitude", step: tuple[float, float] = (1000.0, 1000.0), lon: str | None = None, lat: str | None = None,
+) -> DataFrame:
+    """``upward_air_velocity`` of each cell, from a time's whole field (the unit of work) on hybrid levels, the top first.
+
+    Coefficients ``ap`` and surface pressure in Pa; ``step`` is the grid's on the map, in metres. With ``lon`` and ``lat`` distances on the ground
+    are those between neighbours, else the steps.
+    """
     schema = T.StructType([*(df.schema[c] for c in (t, z, y, x)), T.StructField("upward_air_velocity", T.DoubleType())])
+    given = [c for c in (lon, lat) if c]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at = tuple(pdf[c].to_numpy() for c in (z, y, x))
@@ -132,10 +147,13 @@ def add_vertical_velocity(df: DataFrame, t: str = "t", z: str = "z", y: str = "y
             out[at] = pdf[name].to_numpy(float, na_value=np.nan)
             return out
 
-        w = slabs.vertical_velocity(dense(u), dense(v), dense(temperature), dense(pressure), np.full(shape[1:], step[0]), np.full(shape[1:], step[1]))
+        level = lambda name: np.nanmax(dense(name), axis=(1, 2))
+        ground = lambda name: np.nanmax(dense(name), axis=0)
+        distances = slabs.distances(ground(lon), ground(lat)) if len(given) == 2 else [np.full(shape[1:], s) for s in step]
+        w = slabs.vertical_velocity(dense(u), dense(v), dense(temperature), level(ap), level(b), ground(ps), ground(zs), step, *distances)
         out = pdf[[t, z, y, x]].copy()
         got = w[at]
         out["upward_air_velocity"] = pd.Series(got, index=out.index, dtype="Float64").mask(np.isnan(got))
         return out
 
-    return df.select(t, z, y, x, u, v, temperature, pressure).groupBy(t).applyInPandas(run, schema)
+    return df.select(t, z, y, x, u, v, temperature, ap, b, ps, zs, *given).groupBy(t).applyInPandas(run, schema)

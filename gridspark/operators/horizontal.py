@@ -24,18 +24,23 @@ def position(value: Column, start: float, step: float, circle: float | None = No
 
 
 def positions_on(points: DataFrame, value: str, axis: list[float]) -> DataFrame:
-    """``points`` with ``position`` on an irregular axis, ascending or descending: linear between its values, and beyond its ends."""
+    """``points`` with ``position`` on an irregular axis, ascending or descending: linear between its values, and beyond its ends.
+
+    The axis is one array constant, searched by halving.
+    """
     if not axis:
         raise ValueError("an axis needs values")
     if len(axis) == 1:
         return points.withColumn("position", F.when(F.col(value) == axis[0], F.lit(0.0)))
-    sign = 1 if axis[-1] >= axis[0] else -1
-    v = F.col(value)
-    out = F.lit(None).cast("double")
-    for k in range(len(axis) - 2, -1, -1):  # an axis is a short list of numbers
-        a, b = float(axis[k]), float(axis[k + 1])
-        out = F.when(v * sign < b * sign, k + (v - a) / (b - a)).otherwise(out if k < len(axis) - 2 else k + (v - a) / (b - a))
-    return points.withColumn("position", F.when(~F.isnan(v), out))
+    sign, v = (1.0 if axis[-1] >= axis[0] else -1.0), F.col(value)
+    steps = [1 << k for k in range((len(axis) - 2).bit_length() - 1, -1, -1)]
+    constant = F.split(F.lit(",".join(repr(float(a)) for a in axis)), ",").cast("array<double>")
+    last = len(axis) - 2
+    ahead = lambda at, step: (at + step <= last) & (v * sign >= F.get(constant, at + step) * sign)
+    at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at)) if steps else F.lit(0)
+    out = points.withColumn("_at", at)
+    low, high = F.get(constant, F.col("_at")), F.get(constant, F.col("_at") + 1)
+    return out.withColumn("position", F.when(~F.isnan(v), F.col("_at") + (v - low) / (high - low))).drop("_at")
 
 
 def _neighbours(points: DataFrame, px: str, py: str, offsets: range) -> DataFrame:
@@ -52,19 +57,28 @@ def nearest(source: DataFrame, points: DataFrame, value: str, px: str = "px", py
     return at.join(src, ["_x", "_y"], "left").drop("_x", "_y")
 
 
-def _weighted(source: DataFrame, points: DataFrame, value: str, id: str, px: str, py: str, offsets: range, weight, x: str, y: str) -> DataFrame:
-    src = source.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(value).alias("_v"))
-    near = _neighbours(points.select(id, px, py), px, py, offsets)
-    dx, dy = F.col(px) - F.col("_fx"), F.col(py) - F.col("_fy")
-    near = near.withColumn("_w", weight(dx, F.col("_o.i")) * weight(dy, F.col("_o.j"))).where("_w <> 0")
-    got = near.join(src, ["_x", "_y"], "left").groupBy(id).agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count("_v").alias("_n"), F.count("*").alias("_of"))
-    return points.join(got.select(id, F.when(F.col("_n") == F.col("_of"), F.col("_s")).alias(value)), id, "left")
-
+def bilinear(source: DataFrame, points: DataFrame, value: str, id: str = "id", px: str = "px", py: str = "py", x: str = "x", y: str = "y", shape: tuple[int, int] | None = None) -> DataFrame:
+    """Mean of four cells weighted by distance. In the outer half of the border's cells it is linear along the border only, in a corner the nearest cell.
 
-def bilinear(source: DataFrame, points: DataFrame, value: str, id: str = "id", px: str = "px", py: str = "py", x: str = "x", y: str = "y") -> DataFrame:
-    """Mean of four cells weighted by distance; points on a line between cells need only those; a missing one makes it null."""
-    weight = lambda d, k: F.when(k == 0, 1.0 - d).otherwise(d)
-    return _weighted(source, points, value, id, px, py, range(2), weight, x, y)
+    A missing cell makes the result missing, whatever its weight. ``shape`` is the source's (columns, rows); by default those of its largest cell.
+    """
+    src = source.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(value).alias("_v"))
+    at = points.select(id, px, py).where(~F.isnan(px) & ~F.isnan(py))
+    if shape:
+        at = at.withColumns({"_nx": F.lit(shape[0]), "_ny": F.lit(shape[1])})
+    else:
+        at = at.join(F.broadcast(src.agg((F.max("_x") + 1).alias("_nx"), (F.max("_y") + 1).alias("_ny"))))  # one row
+
+    def side(p: str, n: str) -> Column:
+        low = F.floor(p)
+        within = (low >= 0) & (low + 1 < F.col(n))
+        cell = lambda c, w: F.struct(c.cast("int").alias("at"), w.cast("double").alias("w"))
+        return F.when(within, F.array(cell(low, low + 1 - F.col(p)), cell(low + 1, F.col(p) - low))).otherwise(F.array(cell(F.round(p), F.lit(1.0))))
+
+    near = at.withColumn("_i", F.explode(side(px, "_nx"))).withColumn("_j", F.explode(side(py, "_ny")))
+    near = near.select(id, F.col("_i.at").alias("_x"), F.col("_j.at").alias("_y"), (F.col("_i.w") * F.col("_j.w")).alias("_w"))
+    got = near.join(src, ["_x", "_y"], "left").groupBy(id).agg(F.when(F.count("_v") == F.count("*"), F.sum(F.col("_w") * F.col("_v"))).alias(value))
+    return points.join(got, id, "left")
 
 
 def bicubic(source: DataFrame, points: DataFrame, value: str, id: str = "id", px: str = "px", py: str = "py", x: str = "x", y: str = "y") -> DataFrame:

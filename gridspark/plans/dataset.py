@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.projections import north_angle, parse, transform
+from ..functions.sizes import small
 from ..functions.specs import axis_values, dotted, parse_time, time_values
 from ..operators import combine, extract, horizontal, process, quality, stats, vertical
 
@@ -89,6 +90,10 @@ class GridDataset:
     def rotate_to_latlon(self, u: str, v: str, proj: str, lon: str = "lon", lat: str = "lat") -> GridDataset:
         return self.with_df(process.rotate_vectors(self.df, u, v, north_angle(parse(proj), F.col(lon), F.col(lat))))
 
+    def rotate_all_to_latlon(self, standard_names: dict[str, str], proj: str, lon: str = "lon", lat: str = "lat") -> GridDataset:
+        """Every vector on the map's axes turned to east and north; vectors are told by their variables' standard names."""
+        return self.with_df(process.rotate_all(self.df, standard_names, north_angle(parse(proj), F.col(lon), F.col(lat))))
+
     # interpolation
     def to_levels(self, z: Column, levels: list[float], values: list[str], zdim: str, method: str = "linear") -> GridDataset:
         cell = [d for d in self.dims if d != zdim]
@@ -106,7 +111,7 @@ class GridDataset:
         spark = self.df.sparkSession
         xs = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x_axis)], "ox int, xv double")
         ys = spark.createDataFrame([(k, float(v)) for k, v in enumerate(y_axis)], "oy int, yv double")
-        at = ys.join(F.broadcast(xs))  # axes: the target grid itself
+        at = ys.join(small(xs))  # axes: the target grid itself
         px, py = (F.col("xv"), F.col("yv")) if proj is None else transform(parse(proj), parse(own_proj), F.col("xv"), F.col("yv"))
         x0, dx, y0, dy = source
         at = at.select((F.col("oy") * len(x_axis) + F.col("ox")).alias("id"), "ox", "oy", horizontal.position(px, x0, dx).alias("px"), horizontal.position(py, y0, dy).alias("py"))

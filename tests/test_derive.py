@@ -1,3 +1,4 @@
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,10 +10,10 @@ from gridspark.sources import netcdf3, sinks
 
 
 def test_conversions(spark):
-    df = spark.createDataFrame([(300.0, 500.0, 0.002, 0.5)], "air_potential_temperature double, air_pressure double, specific_humidity double, w double")
+    df = spark.createDataFrame([(300.0, 500.0, 0.0005, 0.5)], "air_potential_temperature double, air_pressure double, specific_humidity double, w double")
     out = derive.convert_by(df, "theta2T", "specific2relative;out=rh", "omega2vwind;omega=w;out=up").first()
     t = 300 * 0.5 ** (fc.R_DRY / fc.CP)
-    assert out["air_temperature"] == pytest.approx(t) and 0 < out["rh"] <= 1 and out["up"] == pytest.approx(-fc.R_DRY * t * 0.5 / (fc.G * 50000))
+    assert out["air_temperature"] == pytest.approx(t) and out["rh"] == pytest.approx(100 * 0.0005 * 50000 / (0.622 * 610.78 * math.exp(17.269 * (t - 273.16) / (t - 35.86)))) and out["up"] == pytest.approx(-fc.R_DRY * t * 0.5 / (fc.G * 50000))
     with pytest.raises(ValueError):
         derive.convert_by(df, "nothing;a=b")
 
@@ -47,10 +48,11 @@ def test_template_levels(spark):
 
 
 def test_vertical_velocity(spark):
-    rows = [(0, z, y, x, float(x), 0.0, 280.0, 1e4 * (z + 1)) for z in range(4) for y in range(3) for x in range(5)]
-    df = spark.createDataFrame(rows, "t int, z int, y int, x int, x_wind double, y_wind double, air_temperature double, air_pressure double")
-    got = {(r["z"], r["x"]): r["upward_air_velocity"] for r in derive.add_vertical_velocity(df).where("y = 1").collect()}
-    assert got[0, 2] == 0 and got[3, 2] > got[1, 2] > 0
+    """Air that flows apart at all heights sinks; the top level has no wind."""
+    rows = [(0, z, y, x, float(x), 0.0, 280.0, 0.0, (z + 0.5) / 4, 1e5, 0.0) for z in range(4) for y in range(3) for x in range(5)]
+    df = spark.createDataFrame(rows, "t int, z int, y int, x int, x_wind double, y_wind double, air_temperature double, ap double, b double, surface_air_pressure double, surface_altitude double")
+    got = {(r["z"], r["y"], r["x"]): r["upward_air_velocity"] for r in derive.add_vertical_velocity(df).collect()}
+    assert got[0, 1, 2] == 0 and got[3, 1, 2] > got[1, 1, 2] > 0 and got[3, 0, 0] == got[3, 1, 1]
 
 
 def test_sinks(spark, tmp_path):

@@ -63,7 +63,7 @@ def test_vertical_coordinates(spark):
     assert hybrid == pytest.approx([1000, 5000.12, 1004.639], abs=1e-2)
     assert one(spark, fc.hybrid_height(F.lit(11.0), F.lit(1.1), F.lit(21.0))) == pytest.approx(11 + 1.1 * 21)
     assert one(spark, fc.standard_pressure(fc.standard_altitude(F.lit(500.0)))) == pytest.approx(500)
-    assert one(spark, fc.relative_to_specific(fc.specific_to_relative(F.lit(0.005), F.lit(290.0), F.lit(900.0)), F.lit(290.0), F.lit(900.0))) == pytest.approx(0.005)
+    assert one(spark, fc.relative_to_specific(fc.specific_to_relative(F.lit(0.005), F.lit(290.0), F.lit(90000.0)), F.lit(290.0), F.lit(90000.0))) == pytest.approx(0.005)
 
 
 def test_rotation_keeps_length(spark):
