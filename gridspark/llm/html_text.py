@@ -12,6 +12,7 @@ results. ``keep`` columns named like an output are replaced. An empty table give
 
 from __future__ import annotations
 
+import collections
 import functools
 import html
 import random
@@ -75,10 +76,48 @@ def _marks(tag: str, attributes: str) -> frozenset[str]:
     return frozenset(out)
 
 
+class _Open:
+    """The open elements, and what blocks need to know of them, kept up to date element by element whatever their number."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.tags: collections.Counter[str] = collections.Counter()
+        self.marks: collections.Counter[str] = collections.Counter()
+        self.blocks: list[int] = []  # places of block elements, and of elements that name a part of the page
+        self.parts: list[int] = []
+
+    def push(self, tag: str, marks: frozenset[str]) -> None:
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        if tag in PARTS or any(x[0] == "n" for x in marks):
+            self.parts.append(len(self.stack))
+        self.stack.append((tag, marks))
+        self.tags[tag] += 1
+        self.marks.update(marks)
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag, marks = self.stack.pop()
+            self.tags[tag] -= 1
+            for x in marks:
+                self.marks[x] -= 1
+                if not self.marks[x]:
+                    del self.marks[x]
+        for places in (self.blocks, self.parts):
+            while places and places[-1] >= k:
+                places.pop()
+
+    def features(self) -> list[str]:
+        inner = self.stack[self.blocks[-1]][0] if self.blocks else "none"
+        closest = self.stack[self.parts[-1]][1] if self.parts else ("none",)
+        return [*self.marks, *(f"c:{x}" for x in closest), f"i:{inner}"]
+
+
 def blocks(page: str) -> list[Block]:
     """A page's leaf blocks with text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    open_now = _Open()
+    stack = open_now.stack
     texts: list[str] = []
     linked = size = 0
 
@@ -87,21 +126,15 @@ def blocks(page: str) -> list[Block]:
         if texts:
             text = " ".join(html.unescape("".join(texts)).split())
             if text:
-                marks: set[str] = set()
-                for _, m in stack:
-                    marks |= m
-                inner = next((t for t, _ in reversed(stack) if t in BLOCKS), "none")
-                closest = next((m for t, m in reversed(stack) if t in PARTS or any(x[0] == "n" for x in m)), frozenset(["none"]))
-                out.append(Block(text, [*marks, *(f"c:{x}" for x in closest), f"i:{inner}", *_shape(text, linked / max(size, 1))]))
+                out.append(Block(text, [*open_now.features(), *_shape(text, linked / max(size, 1))]))
         texts, linked, size = [], 0, 0
 
     def close(k: int) -> None:
-        if any(t in BLOCKS for t, _ in stack[k:]):
+        if open_now.blocks and open_now.blocks[-1] >= k:
             flush()
-        del stack[k:]
+        open_now.cut(k)
 
     at, end = 0, len(page)
-    links = 0
     while at < end:
         m = PART.match(page, at)
         at = m.end()
@@ -109,22 +142,19 @@ def blocks(page: str) -> list[Block]:
             texts.append(m[7])
             n = len(m[7])
             size += n
-            linked += n * bool(links)
+            linked += n * (open_now.tags["a"] > 0)
             continue
         tag = m[2] or m[5]
         if not tag:
             continue
         tag = tag.lower()
-        if tag == "title" and any(t == "svg" for t, _ in stack):  # of a drawing, no block
+        if tag == "title" and open_now.tags["svg"]:  # of a drawing, no block
             tag = "svg-title"
         if m[1] or m[4]:  # an end tag
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
+            if open_now.tags[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+            elif tag in BLOCKS:
+                flush()
         elif tag in RAW:
             ends = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = ends.end() if ends else end
@@ -134,14 +164,11 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCKS:
                 flush()
                 if tag not in ("option", "optgroup"):
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == "p":
-                            close(k)
-                            break
-                        if stack[k][0] in BLOCKS:
-                            break
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ENDED_BY.get(tag, ()):
+                    if open_now.blocks and stack[open_now.blocks[-1]][0] == "p":
+                        close(open_now.blocks[-1])
+                ended = ENDED_BY.get(tag, ())
+                for k in range(len(stack) - 1, -1, -1) if any(open_now.tags[x] for x in ended) else ():
+                    if stack[k][0] in ended:
                         close(k)
                         if tag not in ("tr", "thead", "tbody", "tfoot"):
                             break
@@ -150,8 +177,7 @@ def blocks(page: str) -> list[Block]:
             if tag not in VOID:
                 attributes = m[3] if m[2] else m[6]
                 if not (attributes or "").endswith("/") or tag in BLOCKS:
-                    stack.append((tag, _marks(tag, attributes or "")))
-        links = sum(t == "a" for t, _ in stack) if tag == "a" or links else 0
+                    open_now.push(tag, _marks(tag, attributes or ""))
     flush()
     return out
 
