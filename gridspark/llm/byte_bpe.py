@@ -24,6 +24,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,9 @@ from pyspark.sql import types as T
 
 from .common import Scratch, table
 
+#: UTF-8 bytes of text that share a dictionary, and encoded words that a task remembers at once.
 GROUP_BYTES = 16 << 20
+KNOWN = 400_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -137,9 +140,10 @@ def split_words(docs: DataFrame, text: str, keep: list[str], parts: int, pattern
             schema = pa.schema([*((c, b.column(i).type) for c, i in zip(keep, spots, strict=True)), *own])
             kept = [b.column(i).to_pylist() for i in spots]
             texts = b.column(at)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for i in range(b.num_rows):
                 t = texts[i].as_py() or ""
-                group.add(tuple(c[i] for c in kept), find(t), len(t))
+                group.add(tuple(c[i] for c in kept), find(t), sizes[i])
                 if group.size >= GROUP_BYTES:
                     yield from group.batches(schema, parts)
                     number += 1
@@ -163,6 +167,8 @@ def encode_words(spark: SparkSession, listed: DataFrame, vocabulary: bytes, part
                 out = []
                 for w in unpack_words(row):
                     if (x := known.get(w)) is None:
+                        if len(known) >= KNOWN:  # memory stays bounded; a word forgotten may be encoded again
+                            known.clear()
                         x = known[w] = merge(w)
                     out.append(x)
                 lengths.append(pack(np.fromiter(map(len, out), np.uint32, len(out))))
