@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_map, table
+from .common import TEXT_ROWS, Scratch, arrow_map, table
 
 #: So many texts are held as Python objects at once.
 ROWS = 256
@@ -123,7 +123,8 @@ def count_tokens(spark: SparkSession, docs: DataFrame, cache: str, tokenizer: st
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)  # a new cache is an empty table
     stored = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == name)
     misses = docs.select(F.col(f"`{text}`")).mapInArrow(lambda batches: _distinct(keyed_texts(batches)), "_key binary, _text string")
-    if not stored.isEmpty():
+    old = not stored.isEmpty()
+    if old:
         misses = misses.join(stored.select(F.col("content").alias("_key")), "_key", "left_anti")
 
     def encode(batches):
@@ -132,12 +133,18 @@ def count_tokens(spark: SparkSession, docs: DataFrame, cache: str, tokenizer: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * b.num_rows, pa.string()), pa.array(n, pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
     misses.repartition("_key").mapInArrow(encode, CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
-    # Two runs at once may both have stored a key: their counts are equal.
-    counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == name).groupBy(F.col("content").alias("_key")).agg(F.max("n_tokens").alias("n_tokens"))
-    # Written, so that the join by key has exchanges of its own and Spark can split a hot text's rows.
-    counts = Scratch(spark, "token-counts").write(counts, "counts")
+    scratch = Scratch(spark, "token-counts")
     rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])))
-    out = arrow_map(rows, text, keys, [T.StructField("_key", T.BinaryType()), T.StructField("n_bytes", T.LongType())], keep).join(counts, "_key")
+    keyed = arrow_map(rows, text, keys, [T.StructField("_key", T.BinaryType()), T.StructField("n_bytes", T.LongType())], keep)
+    counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == name).select(F.col("content").alias("_key"), "n_tokens")
+    if old:
+        # What other runs have stored is most of the cache: only this run's keys go on.
+        keyed = scratch.write(keyed, "keys", TEXT_ROWS)
+        counts = counts.join(keyed.select("_key").distinct(), "_key", "left_semi")
+    # Two runs at once may both have stored a key: their counts are equal. Written, so that the join by key has exchanges of its own and
+    # Spark can split a hot text's rows.
+    counts = scratch.write(counts.groupBy("_key").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    out = keyed.join(counts, "_key")
     return out.select(*(F.col(f"`{c}`") for c in keep), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
