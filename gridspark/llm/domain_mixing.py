@@ -6,7 +6,8 @@ them, never below 0, until the expected token total of each domain, the sum of t
 
 With shares of all tokens as the weights of documents, and the inverse of the domains' overlap (without directions that the
 posteriors hardly tell apart) as the weights of residuals, the problem's largest curvature is 1, so steps of length 1 never raise the error. A document's rate depends only on its posterior and on
-the steps so far, a few numbers each; an iteration is one pass that sums them, and only sums by domain reach the driver.
+the steps so far, a few numbers each; an iteration is one pass that sums them, and only sums by domain reach the driver. Tokens are words
+between white space here, as the weights of documents; a text without white space weighs 1.
 
 Defined results: a null or empty text has 0 tokens and no influence on the totals, but has a posterior and a rate. Labels without
 both marks, or of ids not in the table, are left out; with fewer than two domains labelled, all documents have equal posteriors.
@@ -16,6 +17,8 @@ is then the least possible. Input columns named like an output are replaced. An
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +27,7 @@ from pyspark.sql import types as T
 
 from .common import TEXT_ROWS, Chunk, Scratch, arrow_map, chunks, mix, table
 
+LOG = logging.getLogger(__name__)
 DOMAINS = ("clean", "toxic", "low")
 #: The classifier is fitted on so many labelled rows at most, the first in the order of a hash of their ids, and has so many words.
 MAX_TRAIN = 4000
@@ -152,61 +156,76 @@ def predicted(spark: SparkSession, docs: DataFrame, model: Classifier, text: str
     return arrow_map(docs, text, run, [T.StructField("n_tokens", T.LongType()), *(T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS)], keep)
 
 
-def rate_of(steps: list[np.ndarray]) -> Column:
-    """A document's rate after the given projected steps."""
-    r = F.lit(1.0)
-    for s in steps:
-        move = F.lit(0.0)
-        for d, x in zip(DOMAINS, s.tolist(), strict=True):
-            move = move + F.col(f"p_{d}") * F.lit(x)
-        r = F.greatest(F.lit(0.0), r + move)
-    return r
+def moved(rate: Column, step: np.ndarray, most: float | None) -> Column:
+    """Rates after a projected step: by the step's part for each domain, not below 0 and not above ``most``."""
+    for d, x in zip(DOMAINS, step.tolist(), strict=True):
+        rate = rate + F.col(f"p_{d}") * F.lit(x)
+    rate = F.greatest(F.lit(0.0), rate)
+    return rate if most is None else F.least(F.lit(most), rate)
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, factors: dict[str, float] | None = None, tolerance: float = 1e-6, rounds: int = 24) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The steps whose rates meet the targets; expected totals reached and wanted, as shares of the input's tokens.
+def fit_rates(scratch: Scratch, rows: DataFrame, targets: dict[str, float] | None = None, factors: dict[str, float] | None = None, most: float | None = None, tolerance: float = 1e-6, still: float = 1e-5, rounds: int = 500) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """``rows`` with ``rate``; and the domains' expected totals reached and wanted, as shares of the input's tokens.
 
-    ``targets`` gives each domain's share of the input's tokens; or ``factors`` multiplies the share it has.
+    ``targets`` gives each domain's share of the input's tokens; or ``factors`` multiplies the share it has. Steps go on until the totals are met
+    within ``tolerance`` or a step changes them by no more than ``still``, both as sums over the domains: then rates in the allowed range come
+    nearer very slowly, if at all. Every 16 steps the rates are written, so that plans stay short.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     n = F.col("n_tokens")
     k = len(DOMAINS)
     first = rows.agg(F.sum(n), *(F.sum(n * x) for x in p), *(F.sum(n * x * y) for x in p for y in p)).first()
     total = float(first[0] or 0)
+    start = 1.0 if most is None else min(1.0, most)
+    rows = rows.withColumn("rate", F.lit(start))
     if not total:
-        return [], np.zeros(k), np.zeros(k)
+        return rows, np.zeros(k), np.zeros(k)
     now, overlap = np.array(first[1 : 1 + k], float) / total, np.array(first[1 + k :], float).reshape(k, k) / total
     want = np.array([targets[d] for d in DOMAINS]) if targets is not None else now * np.array([factors[d] for d in DOMAINS])
     # Relative to the domains' shares; directions in which the posteriors hardly tell domains apart are not moved along.
     scale = np.where(now > 0, 1 / np.sqrt(np.maximum(now, 1e-300)), 0.0)
     inverse = scale[:, None] * np.linalg.pinv(scale[:, None] * overlap * scale, rcond=0.02, hermitian=True) * scale
-    steps: list[np.ndarray] = []
-    for _ in range(rounds):
+    now = now * start
+    rate = F.col("rate")
+    for taken in range(1, rounds + 1):
         if np.abs(want - now).sum() <= tolerance:
             break
-        steps.append(np.round(inverse @ (want - now), 12))
-        rate = rate_of(steps)
+        rate, before = moved(rate, np.round(inverse @ (want - now), 12), most), now
         now = np.array(rows.agg(*(F.sum(n * x * rate) for x in p)).first(), float) / total
-    return steps, now, want
+        if np.abs(now - before).sum() <= still:
+            break
+        if taken % 16 == 0:
+            rows, rate = scratch.write(rows.withColumn("rate", rate), "rates"), F.col("rate")
+    if np.abs(want - now).sum() > 1e-3:
+        LOG.warning("totals reached %s, wanted %s, as shares of the input's tokens", dict(zip(DOMAINS, now.round(6).tolist(), strict=True)), dict(zip(DOMAINS, want.round(6).tolist(), strict=True)))
+    return rows.withColumn("rate", rate), now, want
 
 
-def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", keep: list[str] | None = None, weights: dict[str, float] | None = None, budget: float = BUDGET, factors: dict[str, float] | None = None) -> DataFrame:
-    """``keep`` columns with n_tokens, posteriors, rate and copies: the rate rounded to a whole number by a hash of the id, so that its mean is the rate."""
+def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", keep: list[str] | None = None, weights: dict[str, float] | None = None, budget: float = BUDGET, factors: dict[str, float] | None = None, most: float | None = None) -> DataFrame:
+    """``keep`` columns with n_tokens, posteriors, rate and copies: the rate rounded to a whole number by a hash of the id, so that its mean is the rate.
+
+    ``most`` bounds the rates. The result's attribute ``totals`` holds the totals reached and wanted of each domain, as shares of the input's tokens.
+    """
     names = {"n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS)}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
-    rows = Scratch(spark, "mixing").write(predicted(spark, docs, learn(spark, docs, labels, text, id), text, keep), "posteriors", TEXT_ROWS)
+    scratch = Scratch(spark, "mixing")
+    rows = scratch.write(predicted(spark, docs, learn(spark, docs, labels, text, id), text, keep), "posteriors", TEXT_ROWS)
     targets = None if factors else {d: budget * w for d, w in (weights or WEIGHTS).items()}
-    steps, _, _ = fit_rates(rows, targets, factors)
+    rows, now, want = fit_rates(scratch, rows, targets, factors, most)
     even = F.pmod(F.xxhash64(F.col(f"`{id}`").cast("string"), F.lit("mixing")), F.lit(1 << 32)) / float(1 << 32)
-    return rows.withColumn("rate", F.round(rate_of(steps), 9)).withColumn("copies", F.floor(F.col("rate") + even).cast("int"))
+    out = rows.withColumn("rate", F.round("rate", 9)).withColumn("copies", F.floor(F.col("rate") + even).cast("int"))
+    out.totals = {d: (float(a), float(b)) for d, a, b in zip(DOMAINS, now, want, strict=True)}
+    return out
 
 
 def drawn(spark: SparkSession, docs: DataFrame, labels: DataFrame, factors: dict[str, float]) -> DataFrame:
-    """The rows of ``docs`` with a copy or more, once each, with its own columns: a mixture that repeats nothing."""
+    """The rows of ``docs`` that are drawn, with its own columns: a mixture that repeats nothing, so rates are 1 at most. ``totals`` as for ``mixed``."""
     added = {"n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS)}
     names = {c: f"_own_{c}" if c.lower() in added else c for c in docs.columns}
-    out = mixed(spark, docs.withColumnsRenamed(names), labels, factors=factors).where("copies >= 1")
-    return out.select(*(F.col(f"`{to}`").alias(c) for c, to in names.items()))
+    rows = mixed(spark, docs.withColumnsRenamed(names), labels, factors=factors, most=1.0)
+    out = rows.where("copies >= 1").select(*(F.col(f"`{to}`").alias(c) for c, to in names.items()))
+    out.totals = rows.totals
+    return out
 
 
 def op9_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
