@@ -1,8 +1,12 @@
 """A corpus pipeline of five stages: each takes the documents that its predecessor kept and writes what the next one reads.
 
 Quality rules and near-duplicates remove documents, the secret scan replaces what it finds in their texts, mixing draws documents by
-their rates, and the last stage returns the tokens. Mixing never lowers the share of clean documents: it asks for more of their
-tokens than there are, and draws each document once at most.
+their rates, and the last stage returns the tokens. Mixing draws each document once at most and asks for all tokens of clean documents,
+so their rates end at 1; toxic and low ones are drawn at the shares that FACTORS gives.
+
+Defined results: a null or empty text is rejected by the quality rules. Of equal or near rows the one with the least id stays; rows
+without an id stay and are never grouped. Repeated rows with an id stay together, if theirs is the least. Columns named like an
+operator's outputs pass through all stages but the last, which replaces its own. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gridspark.llm import byte_bpe, domain_mixing, minhash_join, quality_rules, secret_scan
 from gridspark.llm.common import Scratch, table
 
-#: Multiples of the tokens that each domain has.
-FACTORS = {"clean": 1.2, "toxic": 0.3, "low": 0.5}
+#: Shares of the tokens that each domain has.
+FACTORS = {"clean": 1.0, "toxic": 0.3, "low": 0.5}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
