@@ -114,7 +114,7 @@ def small(df: DataFrame, rows: int, bytes_per_row: int, limit: int = 32 << 20) -
 def split_join(spark: SparkSession, left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, rows: int, by: str, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row for each ``key``; left rows of a frequent key are dealt over several partitions.
 
-    ``sizes(key, n)`` are rows of ``left`` for each key and ``rows`` is their sum. A key is frequent if it has more than an even share
+    ``sizes(key, n)`` are rows of ``left`` for each key and ``rows`` is their sum, or more. A key is frequent if it has more than an even share
     of a partition. There are fewer such keys than partitions, which bounds what is broadcast, and each is cut into shares by a
     hash of ``by``. ``how``: inner, left or left_semi.
     """
@@ -142,18 +142,18 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     n = known.count()
     while True:
         both = known.union(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.write(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
-        star = split_join(spark, both, least.select("u", "m"), "u", least.select("u", "n"), 2 * n, "v")
+        # Both uses of the aggregate name all its columns, so that they share one exchange.
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        star = split_join(spark, both, least.where("n > 0").select("u", F.least("u", "m").alias("m")), "u", least.where("m is not null").select("u", "n"), 2 * n, "v")
         large = scratch.write(star.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
-        scratch.drop(least)
         # Small star: below each node only its smaller neighbours remain after the large star, as u > v in every edge.
-        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        down = split_join(spark, large, least.select("u", "m"), "u", least.select("u", "n"), large.count(), "v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        down = split_join(spark, large, least.where("n > 0").select("u", "m"), "u", least.where("m is not null").select("u", "n"), 2 * n, "v")
         star = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         new = scratch.write(star, "cc")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         n = now[0]
-        scratch.drop(known, large, least)
+        scratch.drop(known, large)
         known = new
         if tuple(now) == state:
             break

@@ -128,7 +128,7 @@ class Join:
 
     def shared(self, posted: DataFrame, key: str, rows: int) -> DataFrame:
         """The ``rows`` rows of ``posted`` under keys that are posted twice or more, with their number ``posts``."""
-        common = self.scratch.write(posted.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "common")
+        common = posted.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
         return split_join(self.spark, posted, common.select(key, F.col("n").alias("posts")), key, common, rows, "node")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ class Join:
         A hub may be in very many pairs. Its pairs are dealt over partitions, and each partition is sent the hub's set once.
         """
         side = lambda c: self.classes.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-        sizes = self.scratch.write(pairs.groupBy("hub").agg(F.count("*").alias("n")), "sizes")
+        sizes = pairs.groupBy("hub").agg(F.count("*").alias("n"))
         near = split_join(self.spark, pairs, side("hub"), "hub", sizes, pairs.count(), "node").join(side("node"), "node")
         equal = F.aggregate(F.zip_with("shub", "snode", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         near = near.where((100 * F.least("nhub", "nnode") >= SIMILAR * F.greatest("nhub", "nnode")) & (equal >= LEAST)).select("hub", "node")
@@ -177,9 +177,9 @@ class Join:
         lists = self.prefixes()
         sets = self.sets(lists.select("node").distinct())
         # The hub shares most with the others: of copies with few or many changes, one with few.
-        hubs = self.scratch.write(lists.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count("*").alias("n")), "hubs")
-        posts, sizes = lists.count(), hubs.select("key", "n")
-        star = split_join(self.spark, lists, hubs.select("key", "hub"), "key", sizes, posts, "node").where("node <> hub").select("hub", "node").distinct()
+        hubs = lists.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count("*").alias("n"))
+        posts, sizes = lists.count(), hubs.where("hub is not null").select("key", "n")
+        star = split_join(self.spark, lists, hubs.where("n > 0").select("key", "hub"), "key", sizes, posts, "node").where("node <> hub").select("hub", "node").distinct()
         star = self.scratch.write(star, "star")
         links = self.confirmed(star, sets)
         found = self.scratch.write(components(self.spark, links, self.scratch), "found")
@@ -215,8 +215,8 @@ class Join:
         # Most of a list is often one component; it needs no pairs of its own.
         sizes = prefix.groupBy("shingle", "comp").agg(F.count("*").alias("size"))
         largest = sizes.groupBy("shingle").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("n")).where("parts > 1")
-        largest = self.scratch.write(largest.select("shingle", "main", "n"), "largest")
-        lists = self.scratch.write(split_join(self.spark, prefix, largest.select("shingle", "main"), "shingle", largest.select("shingle", "n"), prefix.count(), "node"), "lists")
+        sizes = largest.where("main is not null").select("shingle", "n")
+        lists = self.scratch.write(split_join(self.spark, prefix, largest.where("n > 0").select("shingle", "main"), "shingle", sizes, prefix.count(), "node"), "lists")
         rest = lists.where("comp <> main").select("shingle", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("rank").alias("rx"))
         # The first shingle that two sets share leaves them enough others: those after it in both.
         enough = f"100 * least(n, nx) >= {SIMILAR} * greatest(n, nx) and {100 + SIMILAR} * (1 + least(n - rank, nx - rx)) >= {SIMILAR} * (n + nx)"
