@@ -107,7 +107,13 @@ class GridDataset:
         return replace(self, df=out.withColumnRenamed("target", column), dims=(column, *self.cell), t=column)
 
     def to_grid(self, value: str, x_axis: list[float], y_axis: list[float], source: tuple[float, float, float, float], proj: str | None = None, own_proj: str | None = None, method: str = "bilinear") -> GridDataset:
-        """A field on new axes; ``source`` gives start and step of the own axes in x and in y."""
+        """A field on new axes; ``source`` gives start and step of the own axes in x and in y.
+
+        ``method``: nearest, bilinear or bicubic, or forward_ or forward_undef_ with sum, mean, median, min or max, which gather the own cells in the
+        new one around each.
+        """
+        if method.startswith("forward_"):
+            return self._gathered(value, x_axis, y_axis, source, proj, own_proj, method)
         spark = self.df.sparkSession
         xs = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x_axis)], "ox int, xv double")
         ys = spark.createDataFrame([(k, float(v)) for k, v in enumerate(y_axis)], "oy int, yv double")
@@ -119,6 +125,19 @@ class GridDataset:
         out = one(self.df, at, value, x=self.x, y=self.y)
         return replace(self, df=out.select(F.col("oy").alias(self.y), F.col("ox").alias(self.x), value), dims=(self.y, self.x), t=None)
 
+    def _gathered(self, value: str, x_axis: list[float], y_axis: list[float], source: tuple[float, float, float, float], proj: str | None, own_proj: str | None, method: str) -> GridDataset:
+        how = method.removeprefix("forward_").removeprefix("undef_")
+        if how not in horizontal.FORWARD:
+            raise ValueError(f"unknown method {method!r}")
+        x, y = source[0] + source[1] * F.col(self.x), source[2] + source[3] * F.col(self.y)
+        if proj is not None:
+            x, y = transform(parse(own_proj), parse(proj), x, y)
+        cells = self.df.select(value, x.alias("_x"), y.alias("_y"))
+        cells = horizontal.positions_on(cells, "_x", x_axis).withColumnRenamed("position", "_px")
+        cells = horizontal.positions_on(cells, "_y", y_axis).withColumnRenamed("position", "_py")
+        out = horizontal.forward(cells, value, "_px", "_py", len(x_axis), len(y_axis), how, method.startswith("forward_undef_"))
+        return replace(self, df=out.select(F.col("oy").alias(self.y), F.col("ox").alias(self.x), value), dims=(self.y, self.x), t=None)
+
     def to_points(self, value: str, lonlat: list[tuple[float, float]], source: tuple[float, float, float, float], own_proj: str, method: str = "nearest") -> GridDataset:
         """Values at points given by longitude and latitude, as a row x = 0, 1, ... with y = 0."""
         spark, own = self.df.sparkSession, parse(own_proj)

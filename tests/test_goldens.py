@@ -173,6 +173,19 @@ def test_vectors_by_standard_names(spark):
     assert (got["u10"], got["e"], got["n"]) == (1.0, pytest.approx(0), pytest.approx(-2))
 
 
+@pytest.mark.parametrize(("method", "want"), [("forward_mean", [0.5, 2.5, None]), ("forward_sum", [1.0, 5.0, None]), ("forward_max", [1.0, 3.0, None]), ("forward_undef_mean", [None, 2.5, None])])
+def test_datasets_gather_cells(spark, method, want):
+    """Own columns 0 to 3 lie at 0, 10, 20, 30; new ones at 5, 25, 45; one own cell is missing."""
+    from gridspark.plans.dataset import GridDataset
+
+    df = spark.createDataFrame([(0, 0, 0.0), (0, 1, 1.0), (0, 2, 2.0), (0, 3, 3.0), (1, 0, None)], "y int, x int, v double")
+    g = GridDataset(df, ("y", "x"), t=None).to_grid("v", [5.0, 25.0, 45.0], [0.0, 100.0], (0.0, 10.0, 0.0, 1.0), method=method)
+    got = {(r["y"], r["x"]): r["v"] for r in g.df.collect()}
+    assert [got[0, k] for k in range(3)] == want and [got[1, k] for k in range(3)] == [None] * 3
+    with pytest.raises(ValueError):
+        GridDataset(df, ("y", "x"), t=None).to_grid("v", [5.0, 25.0], [0.0, 1.0], (0.0, 10.0, 0.0, 1.0), method="forward_most")
+
+
 def test_humidity(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
     es = 610.78 * math.exp(17.269 * (280 - 273.16) / (280 - 35.86))
