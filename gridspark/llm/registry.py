@@ -51,5 +51,5 @@ from documents d left join n on n.doc_id = d.doc_id left join least l on l.a = d
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others hold trained models or tokenizers, which SQL can't express; tests hold them against brute force."""
+    """The others hold trained models or tokenizers, which SQL can't express; tests hold them against brute force (op2, op9), the libraries (op8, op10) or held-out pages and documents (op4, op6)."""
     return {"op1_secret_scan": secret_scan.oracle(), "op3_embedding_join": OP3_SQL, "op5_warc": OP5_SQL, "op7_minhash_join": OP7_SQL}
