@@ -105,10 +105,17 @@ def forward(source: DataFrame, value: str, px: str, py: str, width: int, height:
     keys = list(keys)
     rows = source.withColumns({"ox": F.round(px).cast("int"), "oy": F.round(py).cast("int")}).where(F.col("ox").between(0, width - 1) & F.col("oy").between(0, height - 1))
     v = F.col(value)
-    ordered = F.sort_array(F.collect_list(v))
-    agg = {"sum": F.sum(v), "mean": F.avg(v), "min": F.min(v), "max": F.max(v), "median": F.try_element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))}[how]
+    if how == "median":
+        # Equal values are counted before they are put in order; no cell's values are gathered in one row.
+        w = Window.partitionBy(*keys, "ox", "oy")
+        rows = rows.groupBy(*keys, "ox", "oy", value).agg(F.count("*").alias("_n"), F.count(v).alias("_defined"))
+        rows = rows.withColumns({"_upto": F.sum("_defined").over(w.orderBy(v.asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_all": F.sum("_defined").over(w)})
+        rank = F.floor(F.col("_all") / 2) + 1
+        agg, whole = F.max(F.when((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_defined")), v)), F.sum("_defined") == F.sum("_n")
+    else:
+        agg, whole = {"sum": F.sum(v), "mean": F.avg(v), "min": F.min(v), "max": F.max(v)}[how], F.count(v) == F.count("*")
     if undefined:
-        agg = F.when(F.count(v) == F.count("*"), agg)
+        agg = F.when(whole, agg)
     got = rows.groupBy(*keys, "ox", "oy").agg(agg.alias(value))
     spark = source.sparkSession
     cells = spark.range(width * height).select((F.col("id") % width).cast("int").alias("ox"), F.floor(F.col("id") / width).cast("int").alias("oy"))
