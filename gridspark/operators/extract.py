@@ -64,9 +64,13 @@ def _tolerance(axis: DataFrame, value: Column) -> DataFrame:
     return first.select(F.coalesce(F.abs(F.col("_b") - F.col("_a")) * 0.01, F.lit(1e-5)).alias("_tol"))
 
 
-def reduce_axis(df: DataFrame, dim: str, value: str, low: float | None, high: float | None, unit: str = "", axis_unit: str = "") -> DataFrame:
-    """Positions whose axis value lies within limits, with a tolerance of one percent of the first step; ascending or descending."""
-    axis = axis_of(df, dim, value).select(F.col(dim).alias("_d"), F.col(value).cast("double").alias("_v"))
+def reduce_axis(df: DataFrame, dim: str, value: str, low: float | None, high: float | None, unit: str = "", axis_unit: str = "", axis: DataFrame | None = None) -> DataFrame:
+    """Positions whose axis value lies within limits, with a tolerance of one percent of the first step; ascending or descending.
+
+    ``axis`` is the axis table ``(dim, value)``; with it the cells are read once and their partitions pruned by the selected
+    positions. By default it is gathered from the cells.
+    """
+    axis = (axis_of(df, dim, value) if axis is None else axis).select(F.col(dim).alias("_d"), F.col(value).cast("double").alias("_v"))
     limits = [None if x is None else convert(F.lit(float(x)), unit, axis_unit) for x in (low, high)]
     axis = axis.crossJoin(F.broadcast(_tolerance(axis, F.col("_v"))))  # one row
     lo, hi = limits
@@ -95,16 +99,17 @@ def reduce_time(df: DataFrame, time: str, start: dt.datetime | None = None, end:
     return out if end is None else out.where(F.col(time) <= limit(end))
 
 
-def bounding_box(df: DataFrame, south: float, north: float, west: float, east: float, x: str = "x", y: str = "y", lon: str = "lon", lat: str = "lat") -> DataFrame:
+def bounding_box(df: DataFrame, south: float, north: float, west: float, east: float, x: str = "x", y: str = "y", lon: str = "lon", lat: str = "lat", points: DataFrame | None = None) -> DataFrame:
     """Rows and columns of the grid that have a point in the box; a west beyond the east goes over the date line.
 
-    The result is a rectangle, so it can hold points outside the box. Row and column numbers are kept.
+    The result is a rectangle, so it can hold points outside the box. Row and column numbers are kept. ``points`` is the table
+    ``(x, y, lon, lat)`` of the grid; with it the cells, which have one row for each time and level, are read once.
     """
     if not (-90 <= south <= north <= 90 and -180 <= west <= 180 and -180 <= east <= 180):
         raise ValueError("not a bounding box")
     at = longitude180(F.col(lon))
     across = (at >= west) & (at <= east) if west <= east else (at >= west) | (at <= east)
-    inside = df.where(F.col(lat).between(south, north) & across).select(x, y)
+    inside = (df if points is None else points).where(F.col(lat).between(south, north) & across).select(x, y)
     return df.join(inside.select(x).distinct(), x, "left_semi").join(inside.select(y).distinct(), y, "left_semi")
 
 
