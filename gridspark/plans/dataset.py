@@ -67,6 +67,26 @@ class GridDataset:
         over = [self.t] if self.t else []
         return self.with_df(quality.mask(self.df, value, F.col(status) if isinstance(status, str) else status, rule, over, fill))
 
+    def quality(self, text: str, kinds: Callable[[str, str | None, str], DataFrame] | None = None) -> GridDataset:
+        """The rules of a quality document, in order; rules for variables that don't exist are passed over.
+
+        A status in a file of its own is read by ``kinds(path, kind, variable)``, by default ``read``, and holds for all cells along the
+        dimensions that it lacks. ValueError if it has dimensions that this dataset lacks.
+        """
+        out = self
+        for r in quality.rules_of(text):
+            if r.variable not in out.variables:
+                continue
+            if r.file is None:
+                out = out.mask(r.variable, r.status, r.use, r.fill)
+                continue
+            status = kinds(r.file, r.kind, r.status) if kinds else read(self.df.sparkSession, r.file, r.kind, r.status)
+            dims = [c for c in status.columns if c != r.status and not c.endswith("_value")]
+            if not set(dims) <= set(self.dims):
+                raise ValueError(f"{r.status} has more dimensions than {r.variable}")
+            out = out.with_df(quality.mask_by(out.df, r.variable, status, r.status, r.use, dims, r.fill, [self.t] if self.t else []))
+        return out
+
     def accumulate(self, *values: str) -> GridDataset:
         df = self.df
         for v in values:
@@ -110,7 +130,7 @@ class GridDataset:
         """A field on new axes; ``source`` gives start and step of the own axes in x and in y.
 
         ``method``: nearest, bilinear or bicubic, or forward_ or forward_undef_ with sum, mean, median, min or max, which gather the own cells in the
-        new one around each.
+        new one around each. With their own lon and lat in the cells ``to_coordinates`` needs no regular source.
         """
         if method.startswith("forward_"):
             return self._gathered(value, x_axis, y_axis, source, proj, own_proj, method)
@@ -138,6 +158,32 @@ class GridDataset:
         out = horizontal.forward(cells, value, "_px", "_py", len(x_axis), len(y_axis), how, method.startswith("forward_undef_"))
         return replace(self, df=out.select(F.col("oy").alias(self.y), F.col("ox").alias(self.x), value), dims=(self.y, self.x), t=None)
 
+    def to_coordinates(self, value: str, x_axis: list[float], y_axis: list[float], radius: float, proj: str | None = None, lon: str = "lon", lat: str = "lat") -> GridDataset:
+        """A field on new axes (longitudes and latitudes, or those of ``proj``): the value of the own cell nearest on the sphere within ``radius`` metres.
+
+        The own cells need longitudes and latitudes only, on no regular axes.
+        """
+        spark = self.df.sparkSession
+        xs = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x_axis)], "ox int, xv double")
+        ys = spark.createDataFrame([(k, float(v)) for k, v in enumerate(y_axis)], "oy int, yv double")
+        at = ys.join(small(xs))  # axes: the target grid itself
+        to_lon, to_lat = (F.col("xv"), F.col("yv")) if proj is None else parse(proj).inverse(F.col("xv"), F.col("yv"))
+        at = at.select((F.col("oy").cast("long") * len(x_axis) + F.col("ox")).alias("id"), "ox", "oy", to_lon.alias("lon"), to_lat.alias("lat"))
+        own = self.df.select(F.col(lon).alias("lon"), F.col(lat).alias("lat"), value, F.struct(self.y, self.x).alias("cell"))
+        out = horizontal.coordinate_nearest(own, at, value, radius)
+        return replace(self, df=out.select(F.col("oy").alias(self.y), F.col("ox").alias(self.x), value), dims=(self.y, self.x), t=None)
+
+    def like(self, value: str, template: DataFrame, source: tuple[float, float, float, float], own_proj: str = "+proj=latlong", method: str = "bilinear", lon: str = "lon", lat: str = "lat") -> GridDataset:
+        """A field on the points ``(y, x, lon, lat)`` of a template, whatever their arrangement."""
+        own = parse(own_proj)
+        px, py = own.forward(F.col("lon"), F.col("lat"))
+        x0, dx, y0, dy = source
+        at = template.select(F.struct(self.y, self.x).alias("id"), F.col(lon).alias("lon"), F.col(lat).alias("lat")).distinct()
+        at = at.select("id", "lon", "lat", horizontal.position(px, x0, dx, 360.0 if own.name == "latlong" else None).alias("px"), horizontal.position(py, y0, dy).alias("py"))
+        one = {"nearest": horizontal.nearest, "bilinear": horizontal.bilinear, "bicubic": horizontal.bicubic}[method]
+        out = one(self.df, at, value, x=self.x, y=self.y)
+        return replace(self, df=out.select(F.col("id")[self.y].alias(self.y), F.col("id")[self.x].alias(self.x), "lon", "lat", value), dims=(self.y, self.x), t=None)
+
     def to_points(self, value: str, lonlat: list[tuple[float, float]], source: tuple[float, float, float, float], own_proj: str, method: str = "nearest") -> GridDataset:
         """Values at points given by longitude and latitude, as a row x = 0, 1, ... with y = 0."""
         spark, own = self.df.sparkSession, parse(own_proj)
@@ -251,10 +297,31 @@ def run_config(dataset: GridDataset, text: str) -> GridDataset:
     return out
 
 
+#: The first bytes of each kind of file.
+MAGIC = {b"CDF\x01": "netcdf3", b"CDF\x02": "netcdf3", b"CDF\x05": "netcdf3", b"PAR1": "parquet", b"ORC": "orc"}
+ENDS = {".nc": "netcdf3", ".nc3": "netcdf3", ".cdf": "netcdf3", ".parquet": "parquet", ".orc": "orc", ".csv": "csv", ".json": "json"}
+
+
+def kind_of(spark: SparkSession, path: str) -> str:
+    """The kind of a path: by the first bytes of a file, else by its name; ``netcdf3`` for ``glob:`` patterns and ``parquet`` for other folders."""
+    if path.startswith("glob:"):
+        return "netcdf3"
+    named = next((k for e, k in ENDS.items() if path.endswith(e)), None)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at) and fs.getFileStatus(at).isFile():
+        stream = fs.open(at)
+        try:
+            first = bytes(b & 0xFF for b in (stream.read() for _ in range(4)) if b >= 0)
+        finally:
+            stream.close()
+        return next((k for m, k in MAGIC.items() if first.startswith(m)), named or "parquet")
+    return named or "parquet"
+
+
 def read(spark: SparkSession, path: str, kind: str | None = None, variable: str | None = None) -> DataFrame:
-    """Cells of a path: by the given kind, else by the file's name; ``netcdf3`` needs a variable."""
-    ends = {".nc": "netcdf3", ".nc3": "netcdf3", ".cdf": "netcdf3", ".parquet": "parquet", ".orc": "orc", ".csv": "csv", ".json": "json"}
-    kind = kind or next((k for e, k in ends.items() if path.endswith(e)), "netcdf3" if path.startswith("glob:") else "parquet")
+    """Cells of a path: by the given kind, else by what ``kind_of`` finds; ``netcdf3`` needs a variable."""
+    kind = kind or kind_of(spark, path)
     if kind == "netcdf3":
         from ..sources.netcdf3 import NetCDF3
 
