@@ -1,4 +1,4 @@
-"""Unit conversion: linear maps between units of one dimension, times since an epoch, and logarithms of a quantity."""
+"""Unit conversion: linear maps between units or compounds of one dimension, times since an epoch, and logarithms of a quantity."""
 
 from __future__ import annotations
 
@@ -25,12 +25,63 @@ LOG = re.compile(r"\s*(ln|log|lg)\s*\(\s*re\s*:?\s*([0-9.eE+-]*)\s*(.+?)\s*\)\s*
 BASES = {"ln": math.e, "log": 10.0, "lg": 10.0}
 
 
-def _known(unit: str) -> tuple[str, float, float]:
-    u = unit.strip()
-    try:
-        return UNITS[u if u else "1"]
-    except KeyError:
-        raise ValueError(f"unknown unit {unit!r}") from None
+# Symbol, factor to base units and powers of m, kg, s, K, A, mol, cd, rad of units in compounds; and decimal prefixes.
+PARTS = {
+    "m": (1, (1, 0, 0, 0, 0, 0, 0, 0)), "g": (1e-3, (0, 1, 0, 0, 0, 0, 0, 0)), "s": (1, (0, 0, 1, 0, 0, 0, 0, 0)), "K": (1, (0, 0, 0, 1, 0, 0, 0, 0)),
+    "A": (1, (0, 0, 0, 0, 1, 0, 0, 0)), "mol": (1, (0, 0, 0, 0, 0, 1, 0, 0)), "cd": (1, (0, 0, 0, 0, 0, 0, 1, 0)), "rad": (1, (0, 0, 0, 0, 0, 0, 0, 1)),
+    "N": (1, (1, 1, -2, 0, 0, 0, 0, 0)), "Pa": (1, (-1, 1, -2, 0, 0, 0, 0, 0)), "J": (1, (2, 1, -2, 0, 0, 0, 0, 0)), "W": (1, (2, 1, -3, 0, 0, 0, 0, 0)),
+    "Hz": (1, (0, 0, -1, 0, 0, 0, 0, 0)), "C": (1, (0, 0, 1, 0, 1, 0, 0, 0)), "V": (1, (2, 1, -3, 0, -1, 0, 0, 0)), "L": (1e-3, (3, 0, 0, 0, 0, 0, 0, 0)), "l": (1e-3, (3, 0, 0, 0, 0, 0, 0, 0)),
+}
+PREFIXES = {"": 1.0, "T": 1e12, "G": 1e9, "M": 1e6, "k": 1e3, "h": 1e2, "da": 1e1, "d": 1e-1, "c": 1e-2, "m": 1e-3, "u": 1e-6, "n": 1e-9, "p": 1e-12}
+#: Powers of units in the table that compounds may hold too, by their dimension there.
+POWERS = {"": (0, 0, 0, 0, 0, 0, 0, 0), "length": (1, 0, 0, 0, 0, 0, 0, 0), "pressure": (-1, 1, -2, 0, 0, 0, 0, 0), "temperature": (0, 0, 0, 1, 0, 0, 0, 0), "time": (0, 0, 1, 0, 0, 0, 0, 0), "speed": (1, 0, -1, 0, 0, 0, 0, 0), "angle": (0, 0, 0, 0, 0, 0, 0, 1), "mass": (0, 1, 0, 0, 0, 0, 0, 0), "area density": (-2, 1, 0, 0, 0, 0, 0, 0), "pressure change": (-1, 1, -3, 0, 0, 0, 0, 0), "energy by mass": (2, 0, -2, 0, 0, 0, 0, 0)}
+NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
+DIVIDED = re.compile(r"\s*(?:/|per\b)\s*")
+SYMBOL = re.compile(r"([A-Za-z%_]+)(?:(?:\^|\*\*)?([+-]?\d+))?")
+
+
+def _part(symbol: str) -> tuple[float, tuple[int, ...]] | None:
+    if symbol in UNITS:
+        kind, factor, _ = UNITS[symbol]  # in a compound a difference of temperatures is meant
+        return factor, POWERS[kind]
+    for prefix, scale in PREFIXES.items():
+        if symbol.startswith(prefix) and symbol[len(prefix) :] in PARTS:
+            factor, powers = PARTS[symbol[len(prefix) :]]
+            return scale * factor, powers
+    return None
+
+
+def _known(unit: str) -> tuple[tuple[int, ...], float, float]:
+    """Powers of the base units, factor and offset: one unit of the table, or a compound of numbers and powers of units.
+
+    Factors are joined by spaces, ``.`` or ``*``; what follows ``/`` or the word ``per`` divides, one factor only. There are no brackets.
+    """
+    text = unit.strip() or "1"
+    if text in UNITS:
+        kind, factor, offset = UNITS[text]
+        return POWERS[kind], factor, offset
+    factor, powers, at, sign = 1.0, [0] * 8, 0, 1
+    while at < len(text):
+        if m := DIVIDED.match(text, at):
+            if sign < 0:
+                raise ValueError(f"unknown unit {unit!r}")
+            sign, at = -1, m.end()
+        elif m := NUMBER.match(text, at):
+            value = float(m[0])
+            if not value:
+                raise ValueError(f"unknown unit {unit!r}")
+            factor, sign, at = factor * value**sign, 1, m.end()
+        elif (m := SYMBOL.match(text, at)) and (part := _part(m[1])):
+            n = sign * int(m[2] or 1)
+            factor, sign, at = factor * part[0] ** n, 1, m.end()
+            powers = [a + n * b for a, b in zip(powers, part[1], strict=True)]
+        elif at and text[at] in " .*" and sign > 0:
+            at += 1
+        else:
+            raise ValueError(f"unknown unit {unit!r}")
+    if sign < 0:
+        raise ValueError(f"unknown unit {unit!r}")
+    return tuple(powers), factor, 0.0
 
 
 def is_time(unit: str) -> bool:

@@ -49,6 +49,19 @@ def test_units(spark):
         units.linear("km", "s")
 
 
+@pytest.mark.parametrize("source, target, slope", [("kg m-2 s-1", "g/m2 h-1", 3.6e6), ("W m-2", "kg s-3", 1), ("J/kg", "m2 s-2", 1), ("km h-1", "m s-1", 1 / 3.6), ("m^3", "L", 1000), ("10 m", "km", 0.01), ("hPa/h", "Pa s-1", 1 / 36), ("N.m", "kJ", 1e-3), ("mg per m**3", "kg m-3", 1e-6), ("K km-1", "degC/m", 1e-3), ("m", "mm", 1000), ("1e-3 kg", "g", 1), ("% m", "m", 0.01)])
+def test_compound_units(source, target, slope):
+    got, offset = units.linear(source, target)
+    assert got == pytest.approx(slope) and offset == 0
+
+
+@pytest.mark.parametrize("bad", ["furlong", "m//s", "m/", "kg m-2 q", "/", "0 m", "m-", "(m)"])
+def test_unknown_units(bad):
+    with pytest.raises(ValueError):
+        units.linear(bad, "m")
+    assert not units.convertible(bad, "m")
+
+
 def test_packing(spark):
     new = lambda v: one(spark, fc.rescale(F.lit(v), (-32686, 2, 0), (-2.7e11, 0.5, 1)))
     assert [new(0.0), new(-32686.0), new(1.0)] == [-2, -2.7e11, 2]
