@@ -8,22 +8,13 @@
 from __future__ import annotations
 
 import argparse
-import os
 
 from pyspark.sql import SparkSession
 
 from .operators.stats import dataset_bytes
 from .plans.dataset import GridDataset, read, run_config
-from .plans.schema import GridSchema, Var
-from .sources import grib, netcdf3, sinks
-
-
-def schema_of(path: str) -> GridSchema:
-    """The schema of a NetCDF classic file."""
-    with open(path, "rb") as f:
-        h = netcdf3.read_header(f, os.path.getsize(path))
-    kinds = {">i1": "byte", "S1": "char", ">i2": "short", ">i4": "int", ">f4": "float", ">f8": "double", ">u1": "byte", ">u2": "short", ">u4": "int", ">i8": "long", ">u8": "long"}
-    return GridSchema(dict(h.dims), h.unlimited, {n: Var(kinds[v.kind], v.dims, v.attrs) for n, v in h.variables.items()}, h.attrs)
+from .plans.ncml import schema_of
+from .sources import grib, sinks
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> str:

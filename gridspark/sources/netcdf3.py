@@ -206,7 +206,9 @@ def write(path: str, dims: dict[str, int], variables: Sequence[tuple[str, Sequen
 
 
 def files_of(path: str) -> list[str]:
-    """Files of a path, a folder, or a ``glob:`` pattern, in order of name."""
+    """Files of a path, a folder, or a ``glob:`` pattern, in order of name; of paths on lines of their own, in that order."""
+    if "\n" in path:
+        return path.split("\n")
     if path.startswith("glob:"):
         return sorted(glob.glob(path[5:], recursive=True))
     path = path.removeprefix("file://")
@@ -242,7 +244,7 @@ class NetCDF3(DataSource):
         h, v = self._first()
         out = [T.StructField(d, T.IntegerType()) for d in v.dims]
         out += [T.StructField(f"{d}_value", T.DoubleType()) for d in v.dims if d in h.variables and h.variables[d].dims == [d]]
-        return T.StructType([*out, T.StructField(v.name, T.DoubleType())])
+        return T.StructType(out if v.name in v.dims else [*out, T.StructField(v.name, T.DoubleType())])  # an axis has its values beside it
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Source(self.options["path"], self.options["variable"], int(self.options.get("rows", 1 << 20)), schema)
@@ -275,5 +277,6 @@ class _Source(DataSourceReader):
                 if f"{d}_value" in self.out.names:
                     columns[f"{d}_value"] = pa.array(read_slab(f, h, h.variables[d]).astype(float)[at])
                 columns[d] = pa.array((at + (partition.shift if k == 0 else 0)).astype(np.int32))
-        columns[v.name] = pa.array(data.ravel(), mask=bad.ravel())
+        if v.name not in v.dims:
+            columns[v.name] = pa.array(data.ravel(), mask=bad.ravel())
         yield pa.RecordBatch.from_arrays([columns[n] for n in self.out.names], names=self.out.names)
