@@ -3,11 +3,14 @@
 A target point has a position in the source grid, a fractional column and row. Backward methods explode each target's few neighbours
 and join them to the source by cell, so the source is shuffled once whatever its size; forward methods give each source cell its
 target and aggregate there, with partial sums before the shuffle.
+
+``keys`` are the source's other dimensions, such as time and level: each of its slices is interpolated to all points. Several values can
+be interpolated at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,24 +53,44 @@ def _neighbours(points: DataFrame, px: str, py: str, offsets: range) -> DataFram
     return rows.withColumns({"_x": F.col("_fx") + F.col("_o.i"), "_y": F.col("_fy") + F.col("_o.j")})
 
 
-def nearest(source: DataFrame, points: DataFrame, value: str, px: str = "px", py: str = "py", x: str = "x", y: str = "y") -> DataFrame:
+def _names(value: str | Sequence[str]) -> list[str]:
+    return [value] if isinstance(value, str) else list(value)
+
+
+def _each(points: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """The points of each slice, which are the result's rows."""
+    return source.select(*keys).distinct().crossJoin(points) if keys else points
+
+
+def _weighted(source: DataFrame, points: DataFrame, near: DataFrame, value: str | Sequence[str], id: str, x: str, y: str, keys: list[str]) -> DataFrame:
+    """Weighted sums over ``near(id, _x, _y, _w, _n)``, missing where fewer than ``_n`` cells have a value."""
+    names = _names(value)
+    src = source.select(F.col(x).alias("_x"), F.col(y).alias("_y"), *keys, *(F.col(v).alias(f"_v{k}") for k, v in enumerate(names)))
+    sums = [F.when(F.count(f"_v{k}") == F.max("_n"), F.sum(F.col("_w") * F.col(f"_v{k}"))).alias(v) for k, v in enumerate(names)]
+    got = near.join(src, ["_x", "_y"]).groupBy(*keys, id).agg(*sums)
+    return _each(points, source, keys).join(got, [*keys, id], "left")
+
+
+def nearest(source: DataFrame, points: DataFrame, value: str | Sequence[str], px: str = "px", py: str = "py", x: str = "x", y: str = "y", keys: Iterable[str] = ()) -> DataFrame:
     """Value of the cell around each point; null outside."""
-    at = points.withColumns({"_x": F.round(px).cast("int"), "_y": F.round(py).cast("int")})
-    src = source.select(F.col(x).alias("_x"), F.col(y).alias("_y"), value)
-    return at.join(src, ["_x", "_y"], "left").drop("_x", "_y")
+    keys = list(keys)
+    at = _each(points.withColumns({"_x": F.round(px).cast("int"), "_y": F.round(py).cast("int")}), source, keys)
+    src = source.select(F.col(x).alias("_x"), F.col(y).alias("_y"), *keys, *_names(value))
+    return at.join(src, [*keys, "_x", "_y"], "left").drop("_x", "_y")
 
 
-def bilinear(source: DataFrame, points: DataFrame, value: str, id: str = "id", px: str = "px", py: str = "py", x: str = "x", y: str = "y", shape: tuple[int, int] | None = None) -> DataFrame:
+def bilinear(
+    source: DataFrame, points: DataFrame, value: str | Sequence[str], id: str = "id", px: str = "px", py: str = "py", x: str = "x", y: str = "y", shape: tuple[int, int] | None = None, keys: Iterable[str] = ()
+) -> DataFrame:
     """Mean of four cells weighted by distance. In the outer half of the border's cells it is linear along the border only, in a corner the nearest cell.
 
     A missing cell makes the result missing, whatever its weight. ``shape`` is the source's (columns, rows); by default those of its largest cell.
     """
-    src = source.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(value).alias("_v"))
     at = points.select(id, px, py).where(~F.isnan(px) & ~F.isnan(py))
     if shape:
         at = at.withColumns({"_nx": F.lit(shape[0]), "_ny": F.lit(shape[1])})
     else:
-        at = at.join(F.broadcast(src.agg((F.max("_x") + 1).alias("_nx"), (F.max("_y") + 1).alias("_ny"))))  # one row
+        at = at.join(F.broadcast(source.agg((F.max(x) + 1).alias("_nx"), (F.max(y) + 1).alias("_ny"))))  # one row
 
     def side(p: str, n: str) -> Column:
         low = F.floor(p)
@@ -75,13 +98,13 @@ def bilinear(source: DataFrame, points: DataFrame, value: str, id: str = "id", p
         cell = lambda c, w: F.struct(c.cast("int").alias("at"), w.cast("double").alias("w"))
         return F.when(within, F.array(cell(low, low + 1 - F.col(p)), cell(low + 1, F.col(p) - low))).otherwise(F.array(cell(F.round(p), F.lit(1.0))))
 
-    near = at.withColumn("_i", F.explode(side(px, "_nx"))).withColumn("_j", F.explode(side(py, "_ny")))
-    near = near.select(id, F.col("_i.at").alias("_x"), F.col("_j.at").alias("_y"), (F.col("_i.w") * F.col("_j.w")).alias("_w"))
-    got = near.join(src, ["_x", "_y"], "left").groupBy(id).agg(F.when(F.count("_v") == F.count("*"), F.sum(F.col("_w") * F.col("_v"))).alias(value))
-    return points.join(got, id, "left")
+    near = at.withColumns({"_is": side(px, "_nx"), "_js": side(py, "_ny")})
+    near = near.withColumn("_n", F.size("_is") * F.size("_js")).withColumn("_i", F.explode("_is")).withColumn("_j", F.explode("_js"))
+    near = near.select(id, "_n", F.col("_i.at").alias("_x"), F.col("_j.at").alias("_y"), (F.col("_i.w") * F.col("_j.w")).alias("_w"))
+    return _weighted(source, points, near, value, id, x, y, list(keys))
 
 
-def bicubic(source: DataFrame, points: DataFrame, value: str, id: str = "id", px: str = "px", py: str = "py", x: str = "x", y: str = "y") -> DataFrame:
+def bicubic(source: DataFrame, points: DataFrame, value: str | Sequence[str], id: str = "id", px: str = "px", py: str = "py", x: str = "x", y: str = "y", keys: Iterable[str] = ()) -> DataFrame:
     """Cubic convolution with a = -0.5 over 4 x 4 cells, all of which must be there."""
 
     def weight(d: Column, k: Column) -> Column:
@@ -89,12 +112,10 @@ def bicubic(source: DataFrame, points: DataFrame, value: str, id: str = "id", px
         inner, outer = (1.5 * t - 2.5) * t * t + 1.0, ((-0.5 * t + 2.5) * t - 4.0) * t + 2.0
         return F.when(t <= 1, inner).when(t < 2, outer).otherwise(0.0)
 
-    src = source.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(value).alias("_v"))
     near = _neighbours(points.select(id, px, py), px, py, range(-1, 3))
     dx, dy = F.col(px) - F.col("_fx"), F.col(py) - F.col("_fy")
-    near = near.withColumn("_w", weight(dx, F.col("_o.i")) * weight(dy, F.col("_o.j")))
-    got = near.join(src, ["_x", "_y"], "left").groupBy(id).agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count("_v").alias("_n"))
-    return points.join(got.select(id, F.when(F.col("_n") == 16, F.col("_s")).alias(value)), id, "left")
+    near = near.select(id, "_x", "_y", (weight(dx, F.col("_o.i")) * weight(dy, F.col("_o.j"))).alias("_w"), F.lit(16).alias("_n"))
+    return _weighted(source, points, near, value, id, x, y, list(keys))
 
 
 def forward(source: DataFrame, value: str, px: str, py: str, width: int, height: int, how: str, undefined: bool = False, keys: Iterable[str] = ()) -> DataFrame:

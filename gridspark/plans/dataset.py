@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import configparser
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,8 +126,28 @@ class GridDataset:
         out = vertical.interpolate_time(self.df, column, targets, "target", values, self.cell)
         return replace(self, df=out.withColumnRenamed("target", column), dims=(column, *self.cell), t=column)
 
-    def to_grid(self, value: str, x_axis: list[float], y_axis: list[float], source: tuple[float, float, float, float], proj: str | None = None, own_proj: str | None = None, method: str = "bilinear") -> GridDataset:
-        """A field on new axes; ``source`` gives start and step of the own axes in x and in y.
+    @property
+    def slices(self) -> list[str]:
+        """The dimensions that tell fields apart, with their axes' values."""
+        own = [d for d in self.dims if d not in (self.x, self.y)]
+        return [*own, *(f"{d}_value" for d in own if f"{d}_value" in self.df.columns)]
+
+    def _on(self, at: DataFrame, value: str | Sequence[str], method: str) -> DataFrame:
+        """Every field at the points ``(id, px, py)``."""
+        methods = {"nearest": horizontal.nearest, "nearestneighbor": horizontal.nearest, "bilinear": horizontal.bilinear, "bicubic": horizontal.bicubic}
+        if method not in methods:
+            raise ValueError(f"unknown method {method!r}")
+        return methods[method](self.df, at, value, x=self.x, y=self.y, keys=self.slices)
+
+    def _fields(self, out: DataFrame, value: str | Sequence[str], row: Column, column: Column, *more: str) -> GridDataset:
+        """Fields on other points, with this dataset's further dimensions."""
+        own = [d for d in self.dims if d not in (self.x, self.y)]
+        values = [value] if isinstance(value, str) else list(value)
+        df = out.select(*self.slices, row.alias(self.y), column.alias(self.x), *more, *values)
+        return replace(self, df=df, dims=(*own, self.y, self.x), t=self.t if self.t in own else None)
+
+    def to_grid(self, value: str | Sequence[str], x_axis: list[float], y_axis: list[float], source: tuple[float, float, float, float], proj: str | None = None, own_proj: str | None = None, method: str = "bilinear") -> GridDataset:
+        """Fields on new axes, each time and level by itself; ``source`` gives start and step of the own axes in x and in y.
 
         ``method``: nearest, bilinear or bicubic, or forward_ or forward_undef_ with sum, mean, median, min or max, which gather the own cells in the
         new one around each. With their own lon and lat in the cells ``to_coordinates`` needs no regular source.
@@ -141,24 +161,25 @@ class GridDataset:
         px, py = (F.col("xv"), F.col("yv")) if proj is None else transform(parse(proj), parse(own_proj), F.col("xv"), F.col("yv"))
         x0, dx, y0, dy = source
         at = at.select((F.col("oy") * len(x_axis) + F.col("ox")).alias("id"), "ox", "oy", horizontal.position(px, x0, dx).alias("px"), horizontal.position(py, y0, dy).alias("py"))
-        one = {"nearest": horizontal.nearest, "bilinear": horizontal.bilinear, "bicubic": horizontal.bicubic}[method]
-        out = one(self.df, at, value, x=self.x, y=self.y)
-        return replace(self, df=out.select(F.col("oy").alias(self.y), F.col("ox").alias(self.x), value), dims=(self.y, self.x), t=None)
+        return self._fields(self._on(at, value, method), value, F.col("oy"), F.col("ox"))
 
-    def _gathered(self, value: str, x_axis: list[float], y_axis: list[float], source: tuple[float, float, float, float], proj: str | None, own_proj: str | None, method: str) -> GridDataset:
+    def _gathered(self, value: str | Sequence[str], x_axis: list[float], y_axis: list[float], source: tuple[float, float, float, float], proj: str | None, own_proj: str | None, method: str) -> GridDataset:
         how = method.removeprefix("forward_").removeprefix("undef_")
         if how not in horizontal.FORWARD:
             raise ValueError(f"unknown method {method!r}")
         x, y = source[0] + source[1] * F.col(self.x), source[2] + source[3] * F.col(self.y)
         if proj is not None:
             x, y = transform(parse(own_proj), parse(proj), x, y)
-        cells = self.df.select(value, x.alias("_x"), y.alias("_y"))
-        cells = horizontal.positions_on(cells, "_x", x_axis).withColumnRenamed("position", "_px")
-        cells = horizontal.positions_on(cells, "_y", y_axis).withColumnRenamed("position", "_py")
-        out = horizontal.forward(cells, value, "_px", "_py", len(x_axis), len(y_axis), how, method.startswith("forward_undef_"))
-        return replace(self, df=out.select(F.col("oy").alias(self.y), F.col("ox").alias(self.x), value), dims=(self.y, self.x), t=None)
-
-    def to_coordinates(self, value: str, x_axis: list[float], y_axis: list[float], radius: float, proj: str | None = None, lon: str = "lon", lat: str = "lat") -> GridDataset:
+        undefined, out = method.startswith("forward_undef_"), None
+        for v in [value] if isinstance(value, str) else value:
+            cells = self.df.select(*self.slices, v, x.alias("_x"), y.alias("_y"))
+            cells = horizontal.positions_on(cells, "_x", x_axis).withColumnRenamed("position", "_px")
+            cells = horizontal.positions_on(cells, "_y", y_axis).withColumnRenamed("position", "_py")
+            one = horizontal.forward(cells, v, "_px", "_py", len(x_axis), len(y_axis), how, undefined, self.slices)
+            out = one if out is None else out.join(one, [*self.slices, "oy", "ox"])
+        return self._fields(out, value, F.col("oy"), F.col("ox"))
+
+    def to_coordinates(self, value: str | Sequence[str], x_axis: list[float], y_axis: list[float], radius: float, proj: str | None = None, lon: str = "lon", lat: str = "lat") -> GridDataset:
         """A field on new axes (longitudes and latitudes, or those of ``proj``): the value of the own cell nearest on the sphere within ``radius`` metres.
 
         The own cells need longitudes and latitudes only, on no regular axes.
@@ -169,33 +190,30 @@ class GridDataset:
         at = ys.join(small(xs))  # axes: the target grid itself
         to_lon, to_lat = (F.col("xv"), F.col("yv")) if proj is None else parse(proj).inverse(F.col("xv"), F.col("yv"))
         at = at.select((F.col("oy").cast("long") * len(x_axis) + F.col("ox")).alias("id"), "ox", "oy", to_lon.alias("lon"), to_lat.alias("lat"))
-        own = self.df.select(F.col(lon).alias("lon"), F.col(lat).alias("lat"), value, F.struct(self.y, self.x).alias("cell"))
-        out = horizontal.coordinate_nearest(own, at, value, radius)
-        return replace(self, df=out.select(F.col("oy").alias(self.y), F.col("ox").alias(self.x), value), dims=(self.y, self.x), t=None)
+        own = self.df.groupBy(F.struct(self.y, self.x).alias("cell")).agg(F.first(lon).alias("lon"), F.first(lat).alias("lat"))  # all fields share their points
+        near = horizontal.coordinate_nearest(own, at, "cell", radius)
+        near = near.select("id", "ox", "oy", F.col("cell")[self.x].alias("px"), F.col("cell")[self.y].alias("py"))
+        return self._fields(self._on(near, value, "nearest"), value, F.col("oy"), F.col("ox"))
 
-    def like(self, value: str, template: DataFrame, source: tuple[float, float, float, float], own_proj: str = "+proj=latlong", method: str = "bilinear", lon: str = "lon", lat: str = "lat") -> GridDataset:
+    def like(self, value: str | Sequence[str], template: DataFrame, source: tuple[float, float, float, float], own_proj: str = "+proj=latlong", method: str = "bilinear", lon: str = "lon", lat: str = "lat") -> GridDataset:
         """A field on the points ``(y, x, lon, lat)`` of a template, whatever their arrangement."""
         own = parse(own_proj)
         px, py = own.forward(F.col("lon"), F.col("lat"))
         x0, dx, y0, dy = source
         at = template.select(F.struct(self.y, self.x).alias("id"), F.col(lon).alias("lon"), F.col(lat).alias("lat")).distinct()
         at = at.select("id", "lon", "lat", horizontal.position(px, x0, dx, 360.0 if own.name == "latlong" else None).alias("px"), horizontal.position(py, y0, dy).alias("py"))
-        one = {"nearest": horizontal.nearest, "bilinear": horizontal.bilinear, "bicubic": horizontal.bicubic}[method]
-        out = one(self.df, at, value, x=self.x, y=self.y)
-        return replace(self, df=out.select(F.col("id")[self.y].alias(self.y), F.col("id")[self.x].alias(self.x), "lon", "lat", value), dims=(self.y, self.x), t=None)
+        return self._fields(self._on(at, value, method), value, F.col("id")[self.y], F.col("id")[self.x], "lon", "lat")
 
-    def to_points(self, value: str, lonlat: list[tuple[float, float]], source: tuple[float, float, float, float], own_proj: str, method: str = "nearest") -> GridDataset:
+    def to_points(self, value: str | Sequence[str], lonlat: list[tuple[float, float]], source: tuple[float, float, float, float], own_proj: str, method: str = "nearest") -> GridDataset:
         """Values at points given by longitude and latitude, as a row x = 0, 1, ... with y = 0."""
         spark, own = self.df.sparkSession, parse(own_proj)
         at = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(lonlat)], "id int, lon double, lat double")
         px, py = own.forward(F.col("lon"), F.col("lat"))
         x0, dx, y0, dy = source
         at = at.select("id", "lon", "lat", horizontal.position(px, x0, dx, 360.0 if own.name == "latlong" else None).alias("px"), horizontal.position(py, y0, dy).alias("py"))
-        one = {"nearest": horizontal.nearest, "bilinear": horizontal.bilinear, "bicubic": horizontal.bicubic}[method]
-        out = one(self.df, at, value, x=self.x, y=self.y)
-        return replace(self, df=out.select(F.lit(0).alias(self.y), F.col("id").alias(self.x), "lon", "lat", value), dims=(self.y, self.x), t=None)
+        return self._fields(self._on(at, value, method), value, F.lit(0), F.col("id"), "lon", "lat")
 
-    def cross_section(self, value: str, corners: list[tuple[float, float]], source: tuple[float, float, float, float], proj: str, method: str = "bilinear") -> GridDataset:
+    def cross_section(self, value: str | Sequence[str], corners: list[tuple[float, float]], source: tuple[float, float, float, float], proj: str, method: str = "bilinear") -> GridDataset:
         """Values along straight lines, on this grid's map, through corners given by longitude and latitude."""
         spark, own = self.df.sparkSession, parse(proj)
         x, y = own.forward(F.col("lon"), F.col("lat"))
@@ -204,9 +222,7 @@ class GridDataset:
         at = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(line)], "id int, xv double, yv double")
         lon, lat = own.inverse(F.col("xv"), F.col("yv"))
         at = at.select("id", lon.alias("lon"), lat.alias("lat"), horizontal.position(F.col("xv"), source[0], source[1]).alias("px"), horizontal.position(F.col("yv"), source[2], source[3]).alias("py"))
-        one = {"nearest": horizontal.nearest, "bilinear": horizontal.bilinear, "bicubic": horizontal.bicubic}[method]
-        out = one(self.df, at, value, x=self.x, y=self.y)
-        return replace(self, df=out.select(F.lit(0).alias(self.y), F.col("id").alias(self.x), "lon", "lat", value), dims=(self.y, self.x), t=None)
+        return self._fields(self._on(at, value, method), value, F.lit(0), F.col("id"), "lon", "lat")
 
     # several datasets
     def join_existing(self, *others: GridDataset) -> GridDataset:
@@ -225,10 +241,10 @@ class GridDataset:
         wide = [combine.merged_axis(i, o) for i, o in ((xi, xo), (yi, yo))]
         around = self.to_grid(value, *wide, (*regular(xo), *regular(yo)), method=method)
         near = self.to_grid(value, xi, yi, (*regular(xo), *regular(yo)), method=method)
-        smooth = combine.merge_smooth(inner.df, near.df, (self.y, self.x), value, len(xi), len(yi), transition, border, x=self.x, y=self.y)
+        smooth = combine.merge_smooth(inner.df, near.df, near.dims, value, len(xi), len(yi), transition, border, x=self.x, y=self.y)
         shift = [min(range(len(w)), key=lambda k, w=w, i=i: abs(w[k] - i[0])) for w, i in zip(wide, (xi, yi), strict=True)]
         moved = smooth.withColumns({self.x: F.col(self.x) + shift[0], self.y: F.col(self.y) + shift[1]})
-        return around.with_df(combine.overlay(around.df, moved, (self.y, self.x), [value]))
+        return around.with_df(combine.overlay(around.df, moved, around.dims, [value]))
 
     def upsert(self, source: GridDataset, *values: str) -> GridDataset:
         return self.with_df(combine.upsert(self.df, source.df, self.dims, values or self.variables))
