@@ -12,7 +12,8 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .operators.stats import dataset_bytes
-from .plans.dataset import GridDataset, read, run_config
+from .plans.config import run_config
+from .plans.dataset import GridDataset, read
 from .plans.ncml import schema_of
 from .sources import grib, sinks
 

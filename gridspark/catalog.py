@@ -684,7 +684,8 @@ def dataset_to_grid(spark, d):
 
 @query(f"with {EVENTS}, a as (select t, x, sum(v) over (partition by x order by t) as v from events_grid) select t, x - 2 as x, round(v, 4) as v from a where x between 2 and 8")
 def config_run(spark, d):
-    from .plans.dataset import GridDataset, run_config
+    from .plans.config import run_config
+    from .plans.dataset import GridDataset
 
     g = GridDataset(events_grid(spark, d), ("t", "x"))
     return rounded(run_config(g, "[extract]\nreduceDimension.name=x\nreduceDimension.start=2\nreduceDimension.end=8\n[process]\naccumulateVariable=v\n").df)

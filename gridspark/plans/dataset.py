@@ -5,7 +5,6 @@ Methods return new datasets and run nothing; Spark plans the whole chain at once
 
 from __future__ import annotations
 
-import configparser
 import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.projections import north_angle, parse, transform
 from ..functions.sizes import small
-from ..functions.specs import axis_values, dotted, parse_time, time_values
 from ..operators import combine, extract, horizontal, process, quality, stats, vertical
 
 
@@ -257,61 +255,7 @@ class GridDataset:
         (w.partitionBy(partition_by) if partition_by else w).parquet(path)
 
 
-# --------------------------------------------------------------------------- runs from a configuration
-
-#: Sections in the order in which they are applied, whatever their order in the text.
-ORDER = ("qualityExtract", "extract", "process", "timeInterpolate", "verticalInterpolate", "interpolate", "qualityExtract2")
-
-
-def run_config(dataset: GridDataset, text: str) -> GridDataset:
-    """Applies the sections of an ini text.
-
-    [extract] selectVariables, removeVariable, reduceDimension.name/start/end, pickDimension.name/list, reduceTime.column/start/end,
-    reduceToBoundingBox.south/north/west/east; [process] accumulateVariable, deaccumulateVariable; [qualityExtract] variable, status,
-    use; [timeInterpolate] column, timeSpec, variables, and for relative specs start and end; [verticalInterpolate] axis, level1,
-    variables, dimension, method; [interpolate] variable, xAxisValues, yAxisValues, source, method.
-    """
-    config = configparser.ConfigParser(strict=False)
-    config.optionxform = str
-    config.read_string(text)
-    unknown = set(config.sections()) - set(ORDER)
-    if unknown:
-        raise ValueError(f"unknown sections: {sorted(unknown)}")
-    out = dataset
-    listed = lambda s: [x.strip() for x in s.replace("\n", ",").split(",") if x.strip()]
-    for name in ORDER:
-        if not config.has_section(name):
-            continue
-        c = config[name]
-        if name.startswith("quality"):
-            out = out.mask(c["variable"], c["status"], c["use"], c.getfloat("fill", fallback=None))
-        elif name == "extract":
-            if "reduceDimension.name" in c:
-                d = c["reduceDimension.name"]
-                length = out.df.agg(F.max(d)).first()[0] + 1
-                out = out.with_df(extract.reduce_dimension_start_end(out.df, d, c.getint("reduceDimension.start", fallback=0), c.getint("reduceDimension.end", fallback=0), length))
-            if "pickDimension.name" in c:
-                out = out.pick_dimension(c["pickDimension.name"], c["pickDimension.list"])
-            if "reduceTime.start" in c or "reduceTime.end" in c:
-                out = out.reduce_time(c.get("reduceTime.column", out.t), *(parse_time(c[k]) if (k := f"reduceTime.{e}") in c else None for e in ("start", "end")))
-            if "reduceToBoundingBox.south" in c:
-                out = out.bounding_box(*(c.getfloat(f"reduceToBoundingBox.{k}") for k in ("south", "north", "west", "east")))
-            if "selectVariables" in c:
-                out = out.select(*listed(c["selectVariables"]))
-            if "removeVariable" in c:
-                out = out.remove(*listed(c["removeVariable"]))
-        elif name == "process":
-            out = out.deaccumulate(*listed(c.get("deaccumulateVariable", ""))).accumulate(*listed(c.get("accumulateVariable", "")))
-        elif name == "timeInterpolate":
-            ends = [parse_time(c[k]) if k in c else None for k in ("start", "end")]
-            out = out.to_times(c["column"], time_values(c["timeSpec"], *ends), listed(c["variables"]))
-        elif name == "verticalInterpolate":
-            out = out.to_levels(F.col(c["axis"]), [float(v) for v in dotted(c["level1"])], listed(c["variables"]), c["dimension"], c.get("method", "linear"))
-        elif name == "interpolate":
-            source = tuple(float(v) for v in listed(c["source"]))
-            out = out.to_grid(c["variable"], axis_values(c["xAxisValues"]), axis_values(c["yAxisValues"]), source, method=c.get("method", "bilinear"))
-    return out
-
+# --------------------------------------------------------------------------- files
 
 #: The first bytes of each kind of file.
 MAGIC = {b"CDF\x01": "netcdf3", b"CDF\x02": "netcdf3", b"CDF\x05": "netcdf3", b"PAR1": "parquet", b"ORC": "orc"}

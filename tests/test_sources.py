@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from gridspark.plans import dataset as ds
+from gridspark.plans.config import run_config
 from gridspark.plans.schema import GridSchema, Var, aggregation, apply_ncml
 from gridspark.sources import netcdf3
 from gridspark.streaming import slices
@@ -68,13 +69,13 @@ def test_ncml():
 def test_config_run(spark):
     rows = [(t, y, x, float(t + x), dt.datetime(2020, 1, 1 + t)) for t in range(4) for y in range(3) for x in range(5)]
     g = ds.GridDataset(spark.createDataFrame(rows, "t int, y int, x int, v double, ts timestamp_ntz"), ("t", "y", "x"))
-    out = ds.run_config(g, "[process]\naccumulateVariable=v\n[extract]\nreduceDimension.name=x\nreduceDimension.start=1\nreduceDimension.end=3\nreduceTime.column=ts\nreduceTime.end=2020-01-03\nselectVariables=v\n")
+    out = run_config(g, "[process]\naccumulateVariable=v\n[extract]\nreduceDimension.name=x\nreduceDimension.start=1\nreduceDimension.end=3\nreduceTime.column=ts\nreduceTime.end=2020-01-03\nselectVariables=v\n")
     assert out.variables == ["v"] and out.df.count() == 3 * 3 * 3
     assert out.df.where("t = 2 and x = 0 and y = 0").first()["v"] == 1 + 2 + 3
     to = g.with_df(g.df.where("t = 0")).to_grid("v", [0.5, 1.5], [0.0, 1.0], (0.0, 1.0, 0.0, 1.0))
     assert {(r["y"], r["x"]): r["v"] for r in to.df.collect()}[0, 1] == 1.5
     with pytest.raises(ValueError):
-        ds.run_config(g, "[nothing]\na=1")
+        run_config(g, "[nothing]\na=1")
 
 
 def test_streams(spark, tmp_path):
