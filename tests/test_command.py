@@ -47,3 +47,14 @@ def test_points_and_sections(spark):
     assert got == [418.0, 800.0, 401.0, None]
     line = g.cross_section("v", [(0, 0), (40, 0), (40, 20)], source, proj).df.orderBy("x").collect()
     assert [r["v"] for r in line] == pytest.approx([418, 419, 420, 421, 422, 522, 622]) and line[-1]["lat"] == pytest.approx(20)
+
+
+def test_ncml_as_input(spark, tmp_path):
+    from gridspark.sources import netcdf3
+
+    for name, k in (("a", 0), ("b", 2)):
+        netcdf3.write(str(tmp_path / f"{name}.nc"), {"t": 2, "x": 3}, [("t", ["t"], {}, np.arange(k, k + 2) * 1.0), ("v", ["t", "x"], {}, np.full((2, 3), k + 1.0))], {}, "t")
+    path = tmp_path / "both.ncml"
+    path.write_text('<netcdf><aggregation type="joinExisting"><scan location="." suffix=".nc"/></aggregation><variable name="w" orgName="v"/></netcdf>')
+    assert 'length="4"' in main(["--input", str(path), "--print", "schema"], spark) and "'w'" in main(["--input", str(path), "--variable", "w", "--output", str(tmp_path / "out")], spark)
+    assert {(r["t"], r["w"]) for r in spark.read.parquet(str(tmp_path / "out" / "cells")).collect()} == {(0, 1.0), (1, 1.0), (2, 3.0), (3, 3.0)}
