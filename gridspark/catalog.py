@@ -682,6 +682,17 @@ def dataset_to_grid(spark, d):
     return rounded(out.df)
 
 
+_SPOTS = "slices as (select distinct t from uv_grid), spots as (select cast(b.i as int) as y, cast(a.i as int) as x, cast(round(0.2 + 0.8 * a.i) as int) as sx, cast(round(0.3 + 0.9 * b.i) as int) as sy from range(20) a(i), range(23) b(i))"
+
+
+@query(f"with {UV}, {_SPOTS} select slices.t, spots.y, spots.x, round(f.u, 4) as u, round(f.v, 4) as v from slices cross join spots left join uv_grid f on f.t = slices.t and f.x = spots.sx and f.y = spots.sy")
+def dataset_fields_to_grid(spark, d):
+    from .plans.dataset import GridDataset
+
+    g = GridDataset(uv_grid(spark, d), ("t", "y", "x"))
+    return rounded(g.to_grid(["u", "v"], [0.2 + 0.8 * i for i in range(20)], [0.3 + 0.9 * j for j in range(23)], (0.0, 1.0, 0.0, 1.0), method="nearest").df)
+
+
 @query(f"with {EVENTS}, a as (select t, x, sum(v) over (partition by x order by t) as v from events_grid) select t, x - 2 as x, round(v, 4) as v from a where x between 2 and 8")
 def config_run(spark, d):
     from .plans.config import run_config
