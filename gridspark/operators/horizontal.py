@@ -63,11 +63,14 @@ def _each(points: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _weighted(source: DataFrame, points: DataFrame, near: DataFrame, value: str | Sequence[str], id: str, x: str, y: str, keys: list[str]) -> DataFrame:
-    """Weighted sums over ``near(id, _x, _y, _w, _n)``, missing where fewer than ``_n`` cells have a value."""
+    """Weighted sums over ``near(id, _x, _y, _w, _n)``, missing where fewer than ``_n`` cells have a value.
+
+    ``near`` has many rows for each point, which Spark's estimates don't see: an outer join keeps it from ever being broadcast.
+    """
     names = _names(value)
     src = source.select(F.col(x).alias("_x"), F.col(y).alias("_y"), *keys, *(F.col(v).alias(f"_v{k}") for k, v in enumerate(names)))
     sums = [F.when(F.count(f"_v{k}") == F.max("_n"), F.sum(F.col("_w") * F.col(f"_v{k}"))).alias(v) for k, v in enumerate(names)]
-    got = near.join(src, ["_x", "_y"]).groupBy(*keys, id).agg(*sums)
+    got = near.join(src, ["_x", "_y"], "left").groupBy(*keys, id).agg(*sums)
     return _each(points, source, keys).join(got, [*keys, id], "left")
 
 
