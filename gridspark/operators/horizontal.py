@@ -10,6 +10,7 @@ be interpolated at once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,28 +149,74 @@ def forward(source: DataFrame, value: str, px: str, py: str, width: int, height:
     return cells.join(got, [*keys, "ox", "oy"], "left")
 
 
-def coordinate_nearest(source: DataFrame, points: DataFrame, value: str, radius: float, id: str = "id", lon: str = "lon", lat: str = "lat", cell: str = "cell") -> DataFrame:
+#: Halvings of the cube around the sphere at most (boxes of 12 m on the earth), those before boxes are compared at all, and places in the
+#: fullest box that need no more of them.
+HALVINGS, FIRST, PLACES = 20, 3, 32
+#: Chords that differ by less are compared by the formula of the distance, which is exact to some 1e-8 of the radius.
+SLACK = 1e-7
+
+
+def _places(df: DataFrame, lon: str, lat: str) -> DataFrame:
+    """Rows with a place (neither null nor infinite), with its box (_0, _1, _2) after all halvings."""
+    a, b, n, inf = F.radians(lon), F.radians(lat), 1 << HALVINGS, F.lit(math.inf)
+    axes = (F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b))
+    whole = df.where((F.abs(lon) < inf) & (F.abs(lat) < inf))
+    return whole.withColumns({f"_{k}": F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((c + 1.0) * (n / 2)))).cast("int") for k, c in enumerate(axes)})
+
+
+def _box(level: int, to: str) -> list[Column]:
+    return [F.shiftright(f"_{k}", HALVINGS - level).alias(f"{to}{k}") for k in range(3)]
+
+
+def _depth(src: DataFrame) -> int:
+    """Halvings until no box has more than PLACES rows; one job, a row for each row and halving."""
+    boxes = src.withColumn("_level", F.explode(F.sequence(F.lit(FIRST), F.lit(HALVINGS)))).select("_level", *(F.expr(f"shiftright(_{k}, {HALVINGS} - _level)").alias(f"_b{k}") for k in range(3)))
+    fullest = boxes.groupBy("_level", "_b0", "_b1", "_b2").count().groupBy("_level").agg(F.max("count").alias("n")).collect()
+    return min((r["_level"] for r in fullest if r["n"] <= PLACES), default=HALVINGS if fullest else FIRST)
+
+
+def _near_boxes(src: DataFrame, at: DataFrame, chord: float, depth: int) -> DataFrame:
+    """Pairs of boxes (_t0, _t1, _t2, _s0, _s1, _s2) of ``at`` and ``src`` after ``depth`` halvings that can hold a place and the one nearest to it.
+
+    Only pairs that are left go on to the next halving. Of a box's partners those stay that aren't farther at their nearest than another one
+    is at its farthest, nor farther than ``chord``; their number depends on how boxes lie, not on how many places they hold.
+    """
+    pairs = None
+    for level in range(FIRST, depth + 1):
+        side = 2.0 / (1 << level)
+        mine, theirs = at.select(*_box(level, "_t")).distinct(), src.select(*_box(level, "_s")).distinct()
+        if pairs is None:
+            both = mine.crossJoin(theirs)
+        else:
+            up = lambda df, c: df.withColumns({f"{c}{k}p": F.shiftright(f"{c}{k}", 1) for k in range(3)})
+            both = pairs.select(*(F.col(f"_{c}{k}").alias(f"_{c}{k}p") for c in "ts" for k in range(3)))
+            both = both.join(up(mine, "_t"), [f"_t{k}p" for k in range(3)]).join(up(theirs, "_s"), [f"_s{k}p" for k in range(3)])
+        apart = [F.abs(F.col(f"_t{k}") - F.col(f"_s{k}")).cast("double") for k in range(3)]
+        nearest = F.sqrt(sum((F.greatest(d - 1.0, F.lit(0.0)) * side) * (F.greatest(d - 1.0, F.lit(0.0)) * side) for d in apart))
+        farthest = F.sqrt(sum(((d + 1.0) * side) * ((d + 1.0) * side) for d in apart))
+        both = both.withColumns({"_near": nearest, "_far": farthest}).where(F.col("_near") <= chord + SLACK)
+        both = both.withColumn("_best", F.min("_far").over(Window.partitionBy("_t0", "_t1", "_t2")))
+        pairs = both.where(F.col("_near") <= F.col("_best") + SLACK).select(*(f"_{c}{k}" for c in "ts" for k in range(3)))
+    return pairs
+
+
+def coordinate_nearest(source: DataFrame, points: DataFrame, value: str, radius: float, lon: str = "lon", lat: str = "lat", cell: str = "cell") -> DataFrame:
     """Value of the source point nearest to each point on the sphere, within ``radius`` metres, by lon and lat of both.
 
-    Points fall into bands of latitude as wide as the radius and boxes of longitude as wide as it is there; a point meets the nine boxes
-    around it, so no more than near points are compared. Ties go to the smallest source cell.
+    Each place counts once, however many rows are there, and the cube around the sphere is halved until its boxes hold a few source places;
+    a point meets those in boxes that can hold its nearest one, so the pairs compared grow with the points and not with the source's
+    density. Ties, to the millimetre, go to the smallest source cell.
     """
-    degrees = radius / EARTH_RADIUS * 57.29577951308232
-    rows = max(1, int(180 / max(degrees, 1e-6)))
-    height = 180.0 / rows
-    band = lambda la: F.least(F.floor((la + 90.0) / height), F.lit(rows - 1)).cast("long")
-    # Boxes in a band: so wide that a radius at the band's edge nearer to a pole spans no more than one.
-    edge = lambda b: F.radians(F.least(F.lit(90.0), F.greatest(F.abs(b * height - 90.0), F.abs((b + 1) * height - 90.0)) + degrees))
-    boxes = lambda b: F.greatest(F.lit(1), F.floor(F.lit(360.0 / max(degrees, 1e-6)) * F.cos(edge(b)) / 1.2)).cast("long")
-    box = lambda lo, n: F.pmod(F.floor(F.pmod(lo + 180.0, F.lit(360.0)) / 360.0 * n), n).cast("long")
-    src = source.select(F.col(cell).alias("_cell"), F.col(lon).alias("_lon"), F.col(lat).alias("_lat"), F.col(value).alias("_v")).withColumn("_band", band(F.col("_lat")))
-    src = src.withColumn("_box", box(F.col("_lon"), boxes(F.col("_band"))))
-    near = points.select(id, F.col(lon).alias("_plon"), F.col(lat).alias("_plat")).withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: band(F.col("_plat")) + k)))
-    near = near.where(F.col("_band").between(0, rows - 1)).withColumn("_n", boxes(F.col("_band")))
-    near = near.withColumn("_box", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(box(F.col("_plon"), F.col("_n")) + k, F.col("_n"))))))
-    both = near.join(src, ["_band", "_box"]).withColumn("_d", central_angle(F.col("_plon"), F.col("_plat"), F.col("_lon"), F.col("_lat")) * EARTH_RADIUS).where(F.col("_d") <= radius)
-    best = both.groupBy(id).agg(F.min(F.struct("_d", "_cell", "_v")).alias("_b"))
-    return points.join(best.select(id, F.col("_b._v").alias(value), F.col("_b._d").alias("distance")), id, "left")
+    src = source.select(F.col(lon).alias("_lon"), F.col(lat).alias("_lat"), F.struct(F.col(cell).alias("_cell"), F.col(value).alias("_v")).alias("_s"))
+    src = _places(src.groupBy("_lon", "_lat").agg(F.min("_s").alias("_s")), "_lon", "_lat")
+    at = _places(points.select(F.col(lon).alias("_plon"), F.col(lat).alias("_plat")).distinct(), "_plon", "_plat")
+    depth = _depth(src)
+    pairs = _near_boxes(src, at, 2 * math.sin(min(radius / EARTH_RADIUS, math.pi) / 2), depth)
+    both = pairs.join(at.select("_plon", "_plat", *_box(depth, "_t")), ["_t0", "_t1", "_t2"]).join(src.select("_lon", "_lat", "_s", *_box(depth, "_s")), ["_s0", "_s1", "_s2"])
+    both = both.withColumn("_d", central_angle(F.col("_plon"), F.col("_plat"), F.col("_lon"), F.col("_lat")) * EARTH_RADIUS).where(F.col("_d") <= radius)
+    best = both.groupBy("_plon", "_plat").agg(F.min(F.struct(F.round("_d", 3).alias("_r"), F.col("_s._cell").alias("_cell"), F.col("_s._v").alias("_v"))).alias("_b"), F.min("_d").alias("distance"))
+    best = best.select(F.col("_plon").alias(lon), F.col("_plat").alias(lat), F.col("_b._v").alias("_v"), "distance")
+    return points.join(best, [lon, lat], "left").select(*points.columns, F.col("_v").alias(value), "distance")
 
 
 def cross_section(corners: list[tuple[float, float]], dx: float, dy: float) -> list[tuple[float, float]]:
